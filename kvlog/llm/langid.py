@@ -126,19 +126,33 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit(rows, [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """All columns, then lang_pred and score."""
+def _rows(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str, least: float | None) -> DataFrame:
+    """All columns by number, so that names may clash, then language and score; with ``least``, only
+    the columns of rows whose language is known with that score."""
     names, matrix = model
     at = docs.columns.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kinds = [f.dataType.simpleString() for f in docs.schema] + (["string", "double"] if least is None else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = predict(batch.column(at).to_pylist(), names, matrix)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [f"c{i}" for i in range(batch.num_columns + 2)])
+            if least is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [f"c{i}" for i in range(batch.num_columns + 2)])
+            else:
+                yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    kinds = [f.dataType.simpleString() for f in docs.schema] + ["string", "double"]
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*docs.columns, "lang_pred", "score")
+    return plain.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """All columns, then lang_pred and score."""
+    return _rows(docs, model, text, None).toDF(*docs.columns, "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with at least this score."""
+    return _rows(docs, model, text, least).toDF(*docs.columns)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

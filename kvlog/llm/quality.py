@@ -2,12 +2,11 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows of a text. The method
 hashes normalised lines (lower case, white space runs as one space, digit runs as 0) and counts, per
-host (the source), the distinct texts with each line: exact copies of a document count once, so a group
-of copies doesn't make its own lines boilerplate. Lines that over ``share`` of the host's texts have,
-and ``least_docs`` at least, are removed; a document that keeps less than ``keep`` of its words is
-depleted and rejected.
-
-The limit's default share is above a third, as one group of near copies may hold a third of a host.
+host (the source), the distinct texts with each line. Lines that over ``share`` of the host's texts
+have, and ``least_docs`` at least, are above the limit and removed, unless they mostly come in copies:
+if the texts with a line consist by half or more of lines above the limit, they share a whole text and
+no boilerplate, and that is left to near-duplicate removal. A document that keeps less than ``keep`` of
+its words is depleted and rejected.
 
 Edge cases: a null text has no words, so it fails the base rules. A null host is a host of its own.
 Rows that repeat each get their row. Columns other than the key, text and host aren't read.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialise, table
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-SHARE, LEAST_DOCS, KEEP = 0.4, 10, 0.3
+SHARE, LEAST_DOCS, KEEP = 0.05, 10, 0.3
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
 
 
@@ -67,14 +66,22 @@ def frequent_lines(features: DataFrame, share: float, least_docs: int) -> DataFr
     return counts.join(hosts, "host").filter(F.col("count") > share * F.col("texts")).select("host", "h")
 
 
+def removed_words(features: DataFrame, share: float, least_docs: int) -> DataFrame:
+    """(uid, n_removed_words) of the rows that hold boilerplate lines."""
+    each = features.select("uid", "host", "n_words", F.explode("lines").alias("line")).select("uid", "host", "n_words", F.col("line.h").alias("h"), F.col("line.w").cast("long").alias("w"))
+    hits = materialise(each.join(frequent_lines(features, share, least_docs), ["host", "h"], "left_semi"), "frequent")
+    rows = hits.groupBy("uid").agg(F.sum("w").alias("frequent"))
+    held = hits.select("uid", "host", "h", "n_words").distinct().join(rows, "uid")
+    copied = held.groupBy("host", "h").agg(F.sum("frequent").alias("f"), F.sum("n_words").alias("n")).filter("2 * f >= n")
+    return hits.join(copied, ["host", "h"], "left_anti").groupBy("uid").agg(F.sum("w").alias("n_removed_words"))
+
+
 def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", share: float = SHARE, least_docs: int = LEAST_DOCS, keep: float = KEEP) -> DataFrame:
     """key, th (xxhash64 of the text), base features, base_failed, n_removed_words and kept of every row."""
     named = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("host"))
     features = base_features(named.withColumns({"uid": F.monotonically_increasing_id(), "th": F.xxhash64("t")}))
     features = materialise(features.drop("t"), "quality")
-    frequent = frequent_lines(features, share, least_docs)
-    each = features.select("uid", "host", F.explode("lines").alias("line")).select("uid", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    removed = each.join(frequent, ["host", "h"], "left_semi").groupBy("uid").agg(F.sum("w").alias("n_removed_words"))
+    removed = removed_words(features, share, least_docs)
     out = features.drop("lines", "host").join(removed, "uid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     depleted = F.col("n_words") - F.col("n_removed_words") < keep * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("uid").withColumnRenamed("key", key)
@@ -98,8 +105,12 @@ ln AS (SELECT rn, coalesce('h' || source, '') AS host, t,
        FROM (SELECT rn, source, t, unnest(lines) AS x FROM w)),
 hosts AS (SELECT coalesce('h' || source, '') AS host, count(DISTINCT t) AS texts FROM docs GROUP BY 1),
 freq AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT t) AS c FROM ln GROUP BY 1, 2) JOIN hosts USING (host)
-         WHERE c >= 10 AND c > 0.4 * texts),
-gone AS (SELECT rn, sum(n) AS n FROM ln SEMI JOIN freq USING (host, h) GROUP BY rn),
+         WHERE c >= 10 AND c > 0.05 * texts),
+hits AS (SELECT * FROM ln SEMI JOIN freq USING (host, h)),
+held AS (SELECT DISTINCT rn, host, h FROM hits),
+copied AS (SELECT host, h FROM held JOIN (SELECT rn, sum(n) AS f FROM hits GROUP BY rn) USING (rn)
+           JOIN (SELECT rn, len(words) AS n FROM w) USING (rn) GROUP BY host, h HAVING 2 * sum(f) >= sum(n)),
+gone AS (SELECT rn, sum(n) AS n FROM hits ANTI JOIN copied USING (host, h) GROUP BY rn),
 ruled AS (SELECT w.rn, doc_id, len(words)::BIGINT AS n_words,
                  length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
                  (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,

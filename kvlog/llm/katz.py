@@ -44,7 +44,7 @@ K = 5
 #: Hashes of the begin and the end of a text.
 BEGIN, END = 1, 2
 #: Bytes of text in a chunk, and of Parquet for each bucket.
-CHUNK, BUCKET = 24 << 20, 24 << 20
+CHUNK, BUCKET = 16 << 20, 20 << 20
 #: One text in SAMPLE is read for hot histories; a history is hot with this share of an even bucket.
 SAMPLE, HOT = 64, 0.25
 
@@ -361,19 +361,19 @@ def hot_histories(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
     """Sorted hashes of words with a large share in a sample of texts; the begin is always among them."""
     part = docs.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(text)
 
-    def run(rows: Iterator) -> Iterator[tuple]:
-        texts = [r[0] for r in rows]
-        if texts:
-            hashes, codes, _ = words_of(texts)
-            counts = np.bincount(codes, minlength=len(hashes))
-            large = counts >= max(1, HOT / buckets * len(codes) / 2)
-            yield len(codes), list(zip(hashes[large].tolist(), counts[large].tolist(), strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hashes, codes, _ = words_of(batch.column(0).to_pylist())
+                counts = np.bincount(codes, minlength=len(hashes))
+                large = counts >= max(1, HOT / buckets * len(codes) / 2)
+                yield pa.RecordBatch.from_arrays([pa.array([len(codes)]), pa.array([hashes[large].view(np.int64)]), pa.array([counts[large]])], ["n", "words", "counts"])
 
     total, found = 0, {}
-    # At most 2 * buckets / HOT words a task.
-    for n, words in part.rdd.mapPartitions(run).collect():
+    # At most 2 * buckets / HOT words a batch.
+    for n, words, counts in part.mapInArrow(run, "n bigint, words array<bigint>, counts array<bigint>").collect():
         total += n
-        for w, c in words:
+        for w, c in zip(np.array(words, np.int64).view(np.uint64).tolist(), counts, strict=True):
             found[w] = found.get(w, 0) + c
     return np.array(sorted([w for w, c in found.items() if c >= HOT / buckets * total] + [BEGIN]), np.uint64)
 

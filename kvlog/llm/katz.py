@@ -44,7 +44,7 @@ K = 5
 #: Hashes of the begin and the end of a text.
 BEGIN, END = 1, 2
 #: Bytes of text in a chunk, and of Parquet for each bucket.
-CHUNK, BUCKET = 16 << 20, 20 << 20
+CHUNK, BUCKET = 16 << 20, 16 << 20
 #: One text in SAMPLE is read for hot histories; a history is hot with this share of an even bucket.
 SAMPLE, HOT = 64, 0.25
 
@@ -93,15 +93,16 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """(sorted hashes, code of each token's history, code of each token, text of each token)."""
     hashes, codes, counts = words_of(texts)
     names, place = np.unique(np.concatenate([hashes, np.array([BEGIN, END], np.uint64)]), return_inverse=True)
+    place = place.astype(np.int32)
     begin, end = place[-2], place[-1]
     n, m = len(texts), len(codes)
-    doc = np.repeat(np.arange(n), counts + 1)
+    doc = np.repeat(np.arange(n, dtype=np.int32), counts + 1)
     last = np.cumsum(counts + 1) - 1
-    word = np.full(m + n, end)
+    word = np.full(m + n, end, np.int32)
     inner = np.ones(m + n, bool)
     inner[last] = False
     word[inner] = place[codes] if m else 0
-    history = np.concatenate([[begin], word[:-1]])[: m + n]
+    history = np.concatenate([place[-2:-1], word[:-1]])[: m + n]
     history[(last - counts)] = begin
     return names, history, word, doc
 
@@ -115,7 +116,7 @@ def chunk_records(at: int, rows: list[tuple], hot: np.ndarray, buckets: int) ->
     own = bucket_of(names[history], names[word], hot, buckets)
     # The words' side: training counts, and the history buckets in which each word occurs.
     counts = np.bincount(word[train[doc]], minlength=len(names))
-    pairs = np.unique(word * buckets + own)
+    pairs = np.unique(word.astype(np.int64) * buckets + own)
     w, b = pairs // buckets, pairs % buckets
     home = (mix(names) % np.uint64(buckets)).astype(np.int64)
     used = np.zeros(len(names), bool)

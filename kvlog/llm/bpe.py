@@ -30,7 +30,9 @@ from .common import table
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of distinct parts that one call of the library gets, and of one text in it.
-CALL_BYTES, TEXT_BYTES = 1 << 20, 1 << 12
+CALL_BYTES, TEXT_BYTES = 1 << 19, 1 << 12
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 8 << 20
 #: Distinct parts whose ids a worker keeps between batches.
 KEEP = 250_000
 
@@ -190,6 +192,21 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about SLICE_BYTES of text, which bounds the encoder's memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """Texts without nulls, as strings with 64-bit offsets."""
     return pc.fill_null(column, "").cast(pa.large_string())
@@ -200,7 +217,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, starts = coder.encode(texts_of(batch.column(1)))
             lists = [ids[a:b] for a, b in zip(starts, starts[1:], strict=False)]
             offsets = [np.cumsum(coder.lengths[x]) - coder.lengths[x] for x in lists]
@@ -216,7 +233,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         decimal = [str(i) for i in range(len(coder.token_bytes))]
-        for batch in batches:
+        for batch in sliced(batches):
             ids, starts = coder.encode(texts_of(batch.column(1)))
             counts, written, decoded = np.diff(starts), [], []
             for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):

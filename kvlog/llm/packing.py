@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import codec, texts_of
+from .bpe import codec, sliced, texts_of
 from .common import materialise, table
 
 CAPACITY, END, FAN_IN = 1024, 2, 8
@@ -86,7 +86,7 @@ def _local(path: str, capacity: int, end: int):
                 x.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             kind = batch.column(0).type
             ids, starts = coder.encode(texts_of(batch.column(1)))
             last = np.array([end], np.uint32)

@@ -32,9 +32,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Bytes of distinct parts that one call of the library gets, and of one text in it.
 CALL_BYTES, TEXT_BYTES = 1 << 19, 1 << 12
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Distinct parts whose ids a worker keeps between batches.
-KEEP = 250_000
+KEEP = 150_000
 
 
 @lru_cache(maxsize=1)
@@ -204,7 +204,9 @@ def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from slices(batch)
+        for part in slices(batch):
+            yield part
+            pa.default_memory_pool().release_unused()
 
 
 def texts_of(column: pa.Array) -> pa.Array:

@@ -149,9 +149,11 @@ def sent(hot: np.ndarray, buckets: int):
             size += len(row[1] or "")
             if size >= CHUNK:
                 yield from chunk_records(index << 20 | part, held, hot, buckets)
+                pa.default_memory_pool().release_unused()
                 held, size, part = [], 0, part + 1
         if held:
             yield from chunk_records(index << 20 | part, held, hot, buckets)
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -26,14 +26,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rows that the quality rules keep, matched by id and the text's hash."""
     kept = quality.rules(docs).filter("kept").select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).distinct()
     match = docs["doc_id"].eqNullSafe(kept["own_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["own_th"])
-    return docs.join(kept, match, "left_semi")
+    return docs.join(kept.hint("merge"), match, "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; of rows that share that id one.
     Of rows without an id one stays if its group has no row with an id."""
     groups = simhash.near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = materialise(groups.groupBy(F.col("doc_id").alias("own_id")).agg((F.count("*") > 1).alias("repeated")), "kept")
+    # Joined by merging at every size: ids grow with the documents.
+    ids = materialise(groups.groupBy(F.col("doc_id").alias("own_id")).agg((F.count("*") > 1).alias("repeated")), "kept").hint("merge")
     same = docs["doc_id"].eqNullSafe(ids["own_id"])
     once = docs.join(ids.filter("NOT repeated"), same, "left_semi")
     if ids.filter("repeated").isEmpty():

@@ -121,7 +121,7 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits: whether each of 8 x 9 area means, as grey, is below its right neighbour."""
-    small = resize(image, 8, 9).mean(axis=2)
+    small = np.round(resize(image, 8, 9).mean(axis=2), 6)  # equal areas are equal, whatever the sums' last bits
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 

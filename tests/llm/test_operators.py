@@ -1,0 +1,293 @@
+"""Each operator against brute force, on a table with nulls, empty and long texts, ties, repeated rows
+and columns of clashing names, and on an empty table."""
+
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from kvlog.llm import bpe, chat, components, katz, langid, licenses, media, packing, quality, registry, sharding, simhash
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, score double, bin int"
+WORDS = "the of and license mit cc by gnu general public apache é über 12 a b c d e f g".split()
+
+
+def rows():
+    rng = random.Random(5)
+    texts = [None, "", " ", "\n\n", "x", "The MIT License\nThe MIT  License", "cc by cc by", "  two  spaces \t tab\r\n end ", "ÀÉ ßß 'S don't", "\x1c a\x85b"]
+    texts += [" ".join(rng.choices(WORDS, k=rng.randrange(1, 400))) for _ in range(40)]
+    texts += [texts[-1] + " z", texts[-1], texts[20], "GNU Generel Public Licence here", "w " * 3000, "long" * 20_000]
+    made = [(i, t, ["en", "fr", None][i % 3], "s0" if i % 2 else None, 0, "clash", 0.5, 1) for i, t in enumerate(texts)]
+    return made + [made[12], made[12], (None, "no id here at all", None, "s0", 0, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("docs")
+    spark.createDataFrame(rows(), SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("none")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def got(spark, name, path):
+    return sorted(registry.QUERIES[name](spark, path).collect(), key=str)
+
+
+def expected(f):
+    return sorted((str((r[0], *f(r[1] or ""))) for r in rows()))
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_table(spark, empty, name):
+    assert len(got(spark, name, empty)) == (1 if name == "op5_chat" else 0)
+
+
+def test_katz(spark, table):
+    texts = [(r[0], (r[1] or "").encode().lower().split() + [None]) for r in rows()]
+    rest = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7
+    uni, bi, hist = Counter(), Counter(), Counter()
+    for i, t in texts:
+        if rest(i) != 2:
+            uni.update(t)
+            bi.update(zip([0] + t[:-1], t, strict=True))
+            hist.update([0] + t[:-1])
+    total, kinds = sum(uni.values()), len(uni)
+    of = lambda counts: katz.discounts(np.bincount([min(c, katz.K + 2) for c in counts], minlength=katz.K + 3)[: katz.K + 2])
+    d1, d2 = of(uni.values()), of(bi.values())
+    d = lambda table, c: table[min(c, katz.K + 1)] * c
+    p1 = {w: d(d1, c) / total for w, c in uni.items()}
+    unknown, after = 1 - sum(p1.values()), defaultdict(list)
+    for (h, w), c in bi.items():
+        after[h].append((w, c))
+    scale, alpha = {}, {}
+    for h, ws in after.items():
+        kept = sum(d(d2, c) for _, c in ws)
+        scale[h] = 1 if kept < hist[h] * (1 - 1e-12) else hist[h] / (hist[h] + 1)
+        alpha[h] = (1 - kept * scale[h] / hist[h]) / (1 - sum(p1[w] for w, _ in ws))
+    prob = lambda h, w: d(d2, bi[h, w]) / hist[h] * scale[h] if bi[h, w] else alpha.get(h, 1) * p1.get(w, unknown)
+    for h in after:  # every distribution sums to one
+        assert math.isclose(sum(prob(h, w) for w in [*uni, "unknown"]), 1, abs_tol=1e-9)
+    want = []
+    for i, t in texts:
+        base = sum(math.log10((uni[w] + 1) / (total + kinds + 1)) for w in t)
+        score = sum(math.log10(prob(h, w)) for h, w in zip([0] + t[:-1], t, strict=True))
+        want.append((i if i is not None else -1, rest(i) == 2, len(t), sum(w in uni for w in t), total, base, score))
+    found = sorted((r.doc_id if r.doc_id is not None else -1, *r[1:]) for r in got(spark, "op1_katz", table))
+    for a, b in zip(found, sorted(want), strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
+
+
+def test_language(spark, table, small):
+    found = got(spark, "op2_language", table)
+    assert len(found) == len(rows())
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in found if r.doc_id in (0, 1, 2, 3))
+    assert all(0 <= r.score <= 1 and r.lang_pred in ("und", "en", "fr") for r in found)
+    held = registry.QUERIES["op2_language"](spark, small).filter("held_out").join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
+
+
+def test_kernel_is_a_mean_of_cosines():
+    made = np.zeros((2, langid.WIDTH), np.uint8)
+    langid.presence("abc", made[0])
+    langid.presence("abd", made[1])
+    z = langid.scaled(made)
+    assert math.isclose((z @ z.T)[0, 0], 1, abs_tol=1e-6)
+    assert math.isclose((z @ z.T)[0, 1], (2 / 3 + 1 / 2 + 0) / 3, abs_tol=1e-6)
+
+
+def test_licenses(spark, table):
+    def one(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        places = sorted((i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+        return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places}))
+
+    assert sorted(str(tuple(r)[:6]) for r in got(spark, "op3_licenses", table)) == expected(one)
+
+
+def test_fuzzy_licenses():
+    found = licenses.scan_text(b"under the GNU Generel Public Licence, as is")
+    assert found["labels"] == "gpl" and found["base_labels"] == "" and 0.9 < found["score"] < 1
+    assert found["spans"] == [{"label": "gpl", "begin_word": 2, "end_word": 6, "edits": 2}]
+    assert licenses.scan_text(b"a general public house")["labels"] == ""
+    assert all("".join(s for _, s in licenses.seeds(n, e)) == n and len(licenses.seeds(n, e)) == e + 1 for n, _, e in licenses.NOTICES)
+
+
+def test_bpe(spark, table):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+
+    def one(text):
+        ids = own.encode_ordinary(text)
+        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+    assert sorted(str(tuple(r)) for r in got(spark, "op4_byte_bpe", table)) == expected(one)
+    row = bpe.encode(spark.createDataFrame([(1, "é a")], "doc_id bigint, text string"), path).first()
+    assert row.offsets[0] == 0 and bpe.codec(path).decode_text(row.ids) == "é a" and bpe.codec(path).decode_text([bpe.read_ranks(path)[b"\xc3"]]) == "�"
+
+
+def test_chat(spark, tmp_path):
+    said = [(0, 1, "assistant", "<|im_end|> <\\|x"), (0, 0, "user", None), (1, 0, None, "a"), (1, 0, None, "a"), (None, 0, "assistant", "é\nb"), (0, 2, "assistant", "<|im_sep|>")]
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said += [(-1, i, r, "<|im_end|><|im_start|>assistant ok") for i, r in enumerate(("user", "assistant"))]
+    groups = defaultdict(list)
+    for c, t, r, x in sorted(said, key=lambda s: (str(s[0]), s[1])):
+        groups[c].append((r or "", x or ""))
+    found = {r.conv_id: r for r in got(spark, "op5_chat", str(tmp_path))}
+    assert set(found) == set(groups)
+    for c, turns in groups.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        assert found[c].n_turns == len(turns) and found[c].loss_chars == len(loss)
+        assert found[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+        assert found[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    for x in ("<|", "<\\|", "<\\\\|a<|", "plain", "<<||"):
+        assert chat.unescape(chat.escape(x)) == x and "<|" not in chat.escape(x)
+
+
+def test_media(spark, table):
+    def one(text):
+        raw = text.encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])
+
+    assert sorted(str(tuple(r)[:5]) for r in got(spark, "op6_media", table)) == expected(one)
+
+
+def test_media_formats(spark):
+    assert media.decode(b"P2 # c\n2 1\n15\n0 15").ravel().tolist() == [0, 255]
+    assert media.decode(b"P1\n3 1\n1 0 1").ravel().tolist() == [0, 255, 0]
+    assert media.decode(b"P4\n3 1\n\xa0").ravel().tolist() == [0, 255, 0]
+    assert media.decode(b"P6\n1 1\n255\nabc").ravel().tolist() == [97, 98, 99]
+    assert media.decode(b"P5\n1 1\n65535\n\xff\xff").ravel().tolist() == [255]
+    head = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 70, 0, 0, 54, 40, 2, 2, 1, 24, 0, 16, 0, 0, 0, 0)
+    image = media.decode(head + bytes([1, 2, 3, 4, 5, 6, 0, 0, 7, 8, 9, 10, 11, 12, 0, 0]))
+    assert image.tolist() == [[[9, 8, 7], [12, 11, 10]], [[3, 2, 1], [6, 5, 4]]]
+    pixels = np.random.default_rng(0).integers(0, 256, (10, 7, 3))
+    fine = np.kron(pixels, np.ones((4, 6, 1)))  # 4 x 6 blocks of this are even parts of the original
+    assert np.allclose(media.resize(pixels, 4, 6), fine.reshape(4, 10, 6, 7, 3).mean(axis=(1, 3)))
+    assert np.array_equal(media.from_tiles(media.to_tiles(pixels)), pixels)
+    got = media.thumbnails(spark.createDataFrame([(1, bytearray(b"P5\n1 1\n255\na")), (2, bytearray(b"no")), (3, None)], "id bigint, data binary"), "id", "data", 2, 2).collect()
+    assert [r.dhash for r in got] == ["0" * 16, None, None]
+
+
+def test_sharding(spark, table):
+    found = registry.QUERIES["op7_sharding"](spark, table).collect()
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in found) == sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows())
+    slots, homes = defaultdict(list), defaultdict(set)
+    for r in found:
+        slots[r.shard].append(r.slot)
+        homes[r.text_crc32, r["size"]].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(h) == 1 for h in homes.values())
+
+
+def test_differencing():
+    sizes = np.random.default_rng(1).integers(1, 10_000, 3000)
+    own, total = sharding.divide(sizes, 40, 700)
+    assert np.array_equal(np.bincount(own, sizes, 40).astype(int), total) and total.max() - total.min() < 0.005 * total.mean()
+    assert sharding.difference(np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]]))[1].tolist() == [16, 14]  # the textbook example
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark, table):
+    prints = {i: brute_fingerprint(t or "") for i, t, *_ in rows()}
+    found = got(spark, "op8_simhash", table)
+    assert len(found) == len(rows()) and all(r.fingerprint == f"{prints[r.doc_id]:016x}" for r in found)
+    near = {i: {j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 4} for i in prints}
+    for r in found:
+        seen, todo = set(), [r.doc_id]
+        while todo:
+            todo += near[i] - seen if (i := todo.pop()) not in seen and not seen.add(i) else []
+        assert r.component_id == min((x for x in seen if x is not None), default=None)
+    data = b" ".join(b"w%d" % i for i in range(5000))
+    assert [w for block in simhash.word_blocks(data, 100) for w in block] == data.split()
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(2)
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    for _ in range(600):
+        fps.append(rng.choice(fps) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))))
+    fps = np.unique(np.array(fps, np.uint64))
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
+    want = simhash.merge_labels(len(fps), a, b)
+    links = simhash.near_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint"))
+    root = {r.node: r.root for r in components.components(links).collect()}
+    have = [root.get(int(x), int(x)) for x in fps.view(np.int64)]
+    assert len({(w, h) for w, h in zip(want, have, strict=True)}) == len(set(want)) == len(set(have))
+    row, anchor, home = simhash.anchors(fps)
+    assert home.sum() == 3 * len(fps) and len(row) <= 45 * len(fps)
+
+
+def test_chains_contract(spark):
+    ids = list(range(200))
+    random.Random(1).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")
+    assert len({r.root for r in components.components(chain).collect()}) == 1
+
+
+def test_packing(spark, table):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    want = []
+    for i, t, *_ in rows():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or min(1024, len(ids))
+        for k, a in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[a : first if k == 0 else a + 1024]
+            want.append(str((i, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))))
+    found = registry.QUERIES["op9_best_fit"](spark, table).collect()
+    assert sorted(str(tuple(r)[:5]) for r in found) == sorted(want)
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        places.sort()
+        assert [p[0] for p in places] == [sum(q[1] for q in places[:k]) for k in range(len(places))] and sum(p[1] for p in places) <= 1024
+    assert len(bins) <= 1.1 * sum(r.length for r in found) / 1024 + 2
+
+
+def test_best_fit():
+    assert packing.best_fit([6, 5, 4, 3, 2], 10) == ([0, 1, 0, 1, 1], [0, 0, 6, 5, 8], [10, 10])
+    assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
+
+
+def test_quality(spark, table):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{table}/documents.parquet/*.parquet'")
+    want = duck.sql(registry.ORACLES["op10_quality"])
+    found = registry.QUERIES["op10_quality"](spark, table)
+    assert sorted(str(tuple(r[c] for c in want.columns)) for r in found.collect()) == sorted(map(str, want.fetchall()))
+
+
+def test_boilerplate_goes_and_copies_stay(spark):
+    body = lambda i: "\n".join(f"own line {chr(97 + i % 26)}{chr(97 + i // 26)} {chr(97 + k)} " + "word " * 10 for k in range(6))
+    made = [(i, body(i) + "\nshare this page now", "h") for i in range(40)] + [(100 + i, "same copy text " + "\n".join(f"line {chr(97 + k)} " + "many words " * 8 for k in range(6)) + f"\ntail {chr(97 + i)}", "h") for i in range(20)]
+    made += [(200, "\n".join(["share this page now"] * 30), "h")]
+    found = {r.doc_id: r for r in quality.rules(spark.createDataFrame(made, "doc_id bigint, text string, source string")).collect()}
+    assert found[0].n_removed_words == 4 and found[100].n_removed_words == 0 and found[200].n_removed_words == 120 and not found[200].kept
+    plan = quality.rules(spark.createDataFrame(made, "doc_id bigint, text string, source string"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

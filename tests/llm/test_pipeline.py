@@ -1,7 +1,7 @@
 """The pipeline's stages on a table with hard cases."""
 
 import corpus_pipeline
-from test_operators import SCHEMA, empty, got, rows, table  # noqa: F401
+from test_text_operators import SCHEMA, empty, got, rows, table  # noqa: F401
 
 from kvlog.llm import quality, simhash
 

@@ -8,15 +8,19 @@ what the lower order gives to words not seen after h, so every distribution sums
 Data flow, by RDDs of packed arrays (a row per token would be several times the input):
 
 1. Each chunk of texts is cut into words once. Its bigram occurrences go to the bucket of their history
-   (of the history and the word, if the history is hot), its distinct words with their training counts
-   and the buckets they occur in to the bucket of the word. Counts are summed in the chunk first.
+   (of the history and the word, if the history is hot; of one of several parts, chosen by the chunk, if
+   the bigram is hot itself), its distinct words with their training counts and the buckets they occur
+   in to the bucket of the word. Counts are summed in the chunk first.
 2. Word buckets sum the counts and send each history bucket the counts of the words it holds.
-3. History buckets hold all occurrences of a bigram, so counts, backoff weights and each token's
-   probability are local to them. A first run writes the count tables, by kind and bucket, and gives
-   counts of counts and sums over hot histories; a second one scores and sends each chunk its texts' sums.
+3. History buckets hold all occurrences of a bigram that isn't hot, so counts, backoff weights and each
+   token's probability are local to them. A first run writes the count tables, by kind and bucket, and
+   gives counts of counts, sums over hot histories and the parts' counts of hot bigrams, which the driver
+   adds up; a second one scores and sends each chunk its texts' sums.
 
 The shuffle files of step 1 and 2 serve both runs of step 3; a lost executor's part is made again from
-the same rows. Hot histories come from a sample of texts, which decides only where rows are sent.
+the same rows. Hot histories and bigrams come from a sample of rows, which decides only where rows are
+sent. A history or bigram is hot with HOT of an even bucket, and a bigram has a part for each such share,
+so both lists and all parts together number a few times the buckets.
 
 Words are known by 64-bit hashes. Edge cases: a null or empty text is its end alone. A null id takes
 part and counts as an empty one for the held-out rule. Repeated rows are trained on and scored each.
@@ -26,8 +30,10 @@ leave nothing over (no count up to K), seen probabilities are scaled by c(h) / (
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +51,7 @@ K = 5
 BEGIN, END = 1, 2
 #: Bytes of text in a chunk, and of Parquet for each bucket.
 CHUNK, BUCKET = 16 << 20, 16 << 20
-#: One text in SAMPLE is read for hot histories; a history is hot with this share of an even bucket.
+#: One row in SAMPLE is read for hot histories and bigrams; these have this share of an even bucket.
 SAMPLE, HOT = 64, 0.25
 
 
@@ -69,9 +75,26 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def bucket_of(history: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    split = np.isin(history, hot)
-    return (mix(np.where(split, history ^ mix(word), history)) % np.uint64(buckets)).astype(np.int64)
+class Hot(NamedTuple):
+    """Sorted hashes of hot histories and of hot bigrams, and the parts that each of these has."""
+
+    histories: np.ndarray
+    bigrams: np.ndarray
+    parts: np.ndarray
+
+    def bucket_of(self, history: np.ndarray, word: np.ndarray, at: int, buckets: int) -> np.ndarray:
+        """The history bucket of each token of chunk ``at``."""
+        key = history.copy()
+        split = np.isin(history, self.histories)
+        key[split] = bigram_of(history[split], word[split])
+        own = split & np.isin(key, self.bigrams)
+        part = mix(np.array([at], np.uint64)) % self.parts[np.searchsorted(self.bigrams, key[own])]
+        key[own] = mix(key[own]) + part
+        return (mix(key) % np.uint64(buckets)).astype(np.int64)
+
+
+def bigram_of(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return history ^ mix(word)
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,13 +130,13 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return names, history, word, doc
 
 
-def chunk_records(at: int, rows: list[tuple], hot: np.ndarray, buckets: int) -> Iterator[tuple[int, tuple]]:
+def chunk_records(at: int, rows: list[tuple], hot: Hot, buckets: int) -> Iterator[tuple[int, tuple]]:
     """What a chunk (rows of id, text, training) sends: keys below ``buckets`` are history buckets,
     those from there on word buckets."""
     names, history, word, doc = tokens_of([r[1] for r in rows])
     train = np.array([r[2] for r in rows], bool)
     held = np.packbits(train).tobytes()
-    own = bucket_of(names[history], names[word], hot, buckets)
+    own = hot.bucket_of(names[history], names[word], at, buckets)
     # The words' side: training counts, and the history buckets in which each word occurs.
     counts = np.bincount(word[train[doc]], minlength=len(names))
     pairs = np.unique(word.astype(np.int64) * buckets + own)
@@ -141,7 +164,7 @@ def chunk_records(at: int, rows: list[tuple], hot: np.ndarray, buckets: int) ->
     yield at % buckets, ("texts", at, [r[0] for r in rows], held, tokens.astype(np.int64).tobytes())
 
 
-def sent(hot: np.ndarray, buckets: int):
+def sent(hot: Hot, buckets: int):
     def run(index: int, rows: Iterator) -> Iterator[tuple[int, tuple]]:
         held, size, part = [], 0, 0
         for row in rows:
@@ -236,9 +259,10 @@ class Lower:
 
 
 class Bucket:
-    """All bigrams of a history bucket: types in the order of (history, word), and their occurrences."""
+    """All bigrams of a history bucket: types in the order of (history, word), and their occurrences.
+    ``split`` tells the types that are hot bigrams, of which other buckets may hold parts."""
 
-    def __init__(self, records: Iterator[tuple[int, tuple]]):
+    def __init__(self, records: Iterator[tuple[int, tuple]], hot: Hot):
         pairs, replies, self.texts, self.tables = [], [], [], []
         for _, record in records:
             {"pairs": pairs, "counts": replies, "texts": self.texts, "table": self.tables}.get(record[0], []).append(record[1:])
@@ -271,17 +295,23 @@ class Bucket:
         self.doc = (np.concatenate(docs) if docs else np.zeros(0, np.uint32))[order]
         learnt = (np.concatenate(train) if train else np.zeros(0, np.uint8))[order]
         self.c = np.add.reduceat(learnt, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        self.bigrams = bigram_of(self.histories[self.history], self.words[self.word])
+        self.split = np.isin(self.bigrams, hot.bigrams) & np.isin(self.histories, hot.histories)[self.history]
 
     def sums(self, lower: Lower) -> np.ndarray:
-        """For each history: n[1..K], the sum of larger counts, and the lower order's sum over seen words."""
-        n, seen = len(self.histories), self.c > 0
-        out = np.zeros((n, K + 2))
-        for r in range(1, K + 1):
-            out[:, r - 1] = np.bincount(self.history[self.c == r], minlength=n)
-        large = self.c > K
-        out[:, K] = np.bincount(self.history[large], self.c[large], n)
-        out[:, K + 1] = np.bincount(self.history[seen], lower.prob(self.counts[self.word[seen]]), n)
-        return out
+        """For each history the sums over its bigrams that aren't hot."""
+        own = ~self.split
+        return history_sums(self.history[own], self.c[own], lower.prob(self.counts[self.word[own]]), len(self.histories))
+
+
+def history_sums(history: np.ndarray, c: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
+    """For each of n histories: n[1..K], the sum of larger counts, and the lower order's sum over seen words."""
+    out, large, seen = np.zeros((n, K + 2)), c > K, c > 0
+    for r in range(1, K + 1):
+        out[:, r - 1] = np.bincount(history[c == r], minlength=n)
+    out[:, K] = np.bincount(history[large], c[large], n)
+    out[:, K + 1] = np.bincount(history[seen], lower[seen], n)
+    return out
 
 
 def weights(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,37 +324,42 @@ def weights(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return total, scale, np.where(total > 0, left / np.maximum(1 - sums[:, K + 1], 1e-300), 1.0)
 
 
-def model_rows(index: int, records: Iterator, buckets: int, lower: Lower, hot: np.ndarray) -> Iterator[tuple]:
+def model_rows(index: int, records: Iterator, buckets: int, lower: Lower, hot: Hot) -> Iterator[tuple]:
     """Rows (kind, bucket, data...) of the count tables, and what the driver needs of this bucket."""
     if index % (2 * buckets) >= buckets:
         for _, record in records:
             if record[0] == "table":
                 yield "unigram", index - buckets, bytearray(record[1]), None, bytearray(record[2])
         return
-    own = Bucket(records)
-    seen = own.c > 0
+    own = Bucket(records, hot)
+    if own.split.any():
+        # A hot bigram's part: the words' counts in all training texts, then the bigrams' in this part.
+        both = np.concatenate([own.counts[own.word[own.split]], own.c[own.split]])
+        yield "part", index, bytearray(own.histories[own.history[own.split]].tobytes()), bytearray(own.words[own.word[own.split]].tobytes()), bytearray(both.tobytes())
+    seen = (own.c > 0) & ~own.split
     if seen.any():
         history, first = np.unique(own.history[seen], return_index=True)
         runs = np.diff(first, append=int(seen.sum())).astype(np.uint32)
         head = pack(own.histories[history], True)
         yield "bigram", index, bytearray(len(head).to_bytes(8, "little") + head + pack(runs)), bytearray(pack(own.words[own.word[seen]])), bytearray(pack(own.c[seen].astype(np.uint64)))
-    hottest = np.flatnonzero(np.isin(own.histories, hot))
+    hottest = np.flatnonzero(np.isin(own.histories, hot.histories))
     sums = own.sums(lower)[hottest]
-    yield "stats", index, bytearray(counts_of_counts(own.c).tobytes()), bytearray(own.histories[hottest].tobytes()), bytearray(sums.tobytes())
+    yield "stats", index, bytearray(counts_of_counts(own.c[~own.split]).tobytes()), bytearray(own.histories[hottest].tobytes()), bytearray(sums.tobytes())
 
 
-def scores(index: int, records: Iterator, buckets: int, lower: Lower, d: np.ndarray, hot: np.ndarray, hot_weights: np.ndarray) -> Iterator[tuple[int, tuple]]:
+def scores(index: int, records: Iterator, buckets: int, lower: Lower, d: np.ndarray, hot: Hot, hot_weights: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple[int, tuple]]:
     """To each chunk the sums over its texts' tokens that belong here: (chunk, arrays of base and model
     log10 probabilities and of known tokens)."""
     if index % (2 * buckets) >= buckets:
         return
-    own = Bucket(records)
+    own = Bucket(records, hot)
     total, scale, alpha = weights(own.sums(lower), d)
-    place = np.searchsorted(hot, own.histories)
-    split = np.isin(own.histories, hot)
+    place = np.searchsorted(hot.histories, own.histories)
+    split = np.isin(own.histories, hot.histories)
     for values, k in ((total, 0), (scale, 1), (alpha, 2)):
         values[split] = hot_weights[place[split], k]
     h, c, counts = own.history, own.c, own.counts[own.word]
+    c[own.split] = hot_counts[np.searchsorted(hot.bigrams, own.bigrams[own.split])]
     seen = c > 0
     prob = alpha[h] * lower.prob(counts)
     prob[seen] = d[np.minimum(c[seen], K + 1)] * c[seen] * scale[h[seen]] / total[h[seen]]
@@ -360,25 +395,34 @@ def _same(key: int) -> int:
     return key
 
 
-def hot_histories(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
-    """Sorted hashes of words with a large share in a sample of texts; the begin is always among them."""
-    part = docs.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(text)
+def hot_keys(rows: DataFrame, buckets: int) -> Hot:
+    """Histories and bigrams with a large share in a sample of rows (key, text): copies of a text are
+    taken or not one by one. The begin is always among the histories."""
+    part = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(SAMPLE)) == 0).select("text")
+    share = HOT / buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                hashes, codes, _ = words_of(batch.column(0).to_pylist())
-                counts = np.bincount(codes, minlength=len(hashes))
-                large = counts >= max(1, HOT / buckets * len(codes) / 2)
-                yield pa.RecordBatch.from_arrays([pa.array([len(codes)]), pa.array([hashes[large].view(np.int64)]), pa.array([counts[large]])], ["n", "words", "counts"])
-
-    total, found = 0, {}
-    # At most 2 * buckets / HOT words a batch.
-    for n, words, counts in part.mapInArrow(run, "n bigint, words array<bigint>, counts array<bigint>").collect():
+            if not batch.num_rows:
+                continue
+            names, history, word, _ = tokens_of(batch.column(0).to_pylist())
+            pairs, times = np.unique(history.astype(np.int64) * len(names) + word, return_counts=True)
+            keys = [(names, np.bincount(history, minlength=len(names))), (bigram_of(names[pairs // len(names)], names[pairs % len(names)]), times)]
+            large = [c >= max(1, share * len(word) / 2) for _, c in keys]
+            found = [x[k].view(np.int64) for (values, counts), k in zip(keys, large, strict=True) for x in (values, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(word)]), *(pa.array([x]) for x in found)], ["n", "histories", "h", "bigrams", "b"])
+
+    total, found = 0, ({}, {})
+    # At most 4 * buckets / HOT keys a batch.
+    for n, *lists in part.mapInArrow(run, "n bigint, histories array<bigint>, h array<bigint>, bigrams array<bigint>, b array<bigint>").collect():
         total += n
-        for w, c in zip(np.array(words, np.int64).view(np.uint64).tolist(), counts, strict=True):
-            found[w] = found.get(w, 0) + c
-    return np.array(sorted([w for w, c in found.items() if c >= HOT / buckets * total] + [BEGIN]), np.uint64)
+        for sums, keys, counts in zip(found, lists[::2], lists[1::2], strict=True):
+            for key, c in zip(np.array(keys, np.int64).view(np.uint64).tolist(), counts, strict=True):
+                sums[key] = sums.get(key, 0) + c
+    least = share * total
+    histories = {k for k, c in found[0].items() if c >= least} | {BEGIN}
+    bigrams = sorted((k, math.ceil(c / least)) for k, c in found[1].items() if c >= least)
+    return Hot(np.array(sorted(histories), np.uint64), np.array([k for k, _ in bigrams], np.uint64), np.array([p for _, p in bigrams], np.uint64))
 
 
 def score_texts(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -388,7 +432,7 @@ def score_texts(docs: DataFrame, train, key: str = "doc_id", text: str = "text")
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(8, min(4096, -(-size // BUCKET)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), train.alias("train"))
-    hot = hot_histories(rows, "text", buckets)
+    hot = hot_keys(rows, buckets)
     first = rows.rdd.mapPartitionsWithIndex(sent(hot, buckets)).partitionBy(2 * buckets, _same)
     total, kinds, n = 0, 0, np.zeros(K + 2, np.int64)
     for a, b, c in first.mapPartitionsWithIndex(lambda i, r: word_stats(i, r, buckets)).collect():
@@ -399,13 +443,24 @@ def score_texts(docs: DataFrame, train, key: str = "doc_id", text: str = "text")
     tables = f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
     schema = "kind string, bucket int, histories binary, words binary, counts binary"
     spark.createDataFrame(both.mapPartitionsWithIndex(lambda i, r: model_rows(i, r, buckets, lower, hot)), schema).write.partitionBy("kind").parquet(tables)
-    n, sums = np.zeros(K + 2, np.int64), np.zeros((len(hot), K + 2))
+    n, sums = np.zeros(K + 2, np.int64), np.zeros((len(hot.histories), K + 2))
     for r in spark.read.schema(schema).parquet(tables).filter("kind = 'stats'").collect():
         n = n + np.frombuffer(r["histories"], np.int64)
-        sums[np.searchsorted(hot, np.frombuffer(r["words"], np.uint64))] += np.frombuffer(r["counts"]).reshape(-1, K + 2)
+        sums[np.searchsorted(hot.histories, np.frombuffer(r["words"], np.uint64))] += np.frombuffer(r["counts"]).reshape(-1, K + 2)
+    parts = {}
+    for r in spark.read.schema(schema).parquet(tables).filter("kind = 'part'").collect():
+        counts = np.frombuffer(r["counts"], np.int64).reshape(2, -1)
+        for h, w, times, c in zip(np.frombuffer(r["histories"], np.uint64), np.frombuffer(r["words"], np.uint64), *counts, strict=True):
+            parts[h, w] = (times, parts.get((h, w), (0, 0))[1] + c)
+    hot_counts = np.zeros(len(hot.bigrams), np.int64)
+    if parts:
+        (h, w), (times, c) = np.array(list(parts), np.uint64).T, np.array(list(parts.values()), np.int64).T
+        sums += history_sums(np.searchsorted(hot.histories, h), c, lower.prob(times), len(hot.histories))
+        n = n + counts_of_counts(c)
+        hot_counts[np.searchsorted(hot.bigrams, bigram_of(h, w))] = c
     d = discounts(n)
     hot_weights = np.stack(weights(sums, d), axis=1)
-    scored = both.mapPartitionsWithIndex(lambda i, r: scores(i, r, buckets, lower, d, hot, hot_weights))
+    scored = both.mapPartitionsWithIndex(lambda i, r: scores(i, r, buckets, lower, d, hot, hot_weights, hot_counts))
     made = scored.partitionBy(buckets, _same).mapPartitions(lambda r: result_rows(r, total))
     kind = docs.schema[key].dataType.simpleString()
     return spark.createDataFrame(made, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -61,7 +61,11 @@ def test_empty_table(spark, empty, name):
     assert len(got(spark, name, empty)) == (1 if name == "op5_chat" else 0)
 
 
-def test_katz(spark, table):
+@pytest.mark.parametrize(("sample", "hot"), [(katz.SAMPLE, katz.HOT), (1, katz.HOT), (1, 0.01)])
+def test_katz(spark, table, monkeypatch, sample, hot):
+    """Alike whichever histories and bigrams are split."""
+    monkeypatch.setattr(katz, "SAMPLE", sample)
+    monkeypatch.setattr(katz, "HOT", hot)
     texts = [(r[0], (r[1] or "").encode().lower().split() + [None]) for r in rows()]
     rest = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7
     uni, bi, hist = Counter(), Counter(), Counter()
@@ -105,6 +109,16 @@ def test_language(spark, table, small):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
 
 
+def test_hot_bigrams_have_parts(spark):
+    """Copies of a short text, however many, are dealt over buckets."""
+    docs = spark.range(4000).selectExpr("id AS key", "if(id % 3 = 0, 'a b', 'w' || id || ' v' || id) AS text")
+    hot = katz.hot_keys(docs, 64)
+    names = np.array([xxhash.xxh3_64_intdigest(x) for x in (b"a", b"b")], np.uint64)
+    place = np.searchsorted(hot.bigrams, katz.bigram_of(names[:1], names[1:]))
+    assert np.isin(names, hot.histories).all() and 10 < hot.parts[place[0]] < 60
+    assert len({int(hot.bucket_of(names[:1], names[1:], at << 20, 64)[0]) for at in range(500)}) > 10
+
+
 def test_kernel_is_a_mean_of_cosines():
     made = np.zeros((2, langid.WIDTH), np.uint8)
     langid.presence("abc", made[0])
@@ -131,6 +145,34 @@ def test_fuzzy_licenses():
     assert all("".join(s for _, s in licenses.seeds(n, e)) == n and len(licenses.seeds(n, e)) == e + 1 for n, _, e in licenses.NOTICES)
 
 
+def test_fuzzy_licenses_against_brute_force():
+    def least_edits(notice, text):
+        """Of the spans of whole words, by rows of the edit distance's table."""
+        row = [0]
+        for b in text:
+            row.append(0 if b == " " else row[-1] + 1)
+        for i, a in enumerate(notice, 1):
+            new = [row[0] + 1]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        return min(row[j] for j in range(len(text) + 1) if j == len(text) or text[j] == " ")
+
+    rng = random.Random(7)
+    for _ in range(60):
+        notice, _, errors = rng.choice(licenses.NOTICES)
+        made = list(notice)
+        for _ in range(rng.randrange(errors + 3)):
+            at = rng.randrange(len(made))
+            made[at : at + rng.randrange(2)] = rng.choice(["", "e", "x", " ", "s"])
+        words = [rng.choice([*WORDS[:11], "submit", "all", "free"]) for _ in range(12)]
+        norm = licenses.normalise(" ".join([*words[:6], "".join(made), *words[6:]]).encode())
+        want = {label for n, label, e in licenses.NOTICES if least_edits(n, norm.decode("latin-1")) <= e}
+        found = licenses.fuzzy_matches(norm)
+        assert {m[0] for m in found} == want
+        assert all(min(e, least_edits(n, norm[a:b].decode("latin-1"))) == e <= dict((x, k) for x, _, k in licenses.NOTICES)[n] for _, a, b, e, n in found)
+
+
 def test_bpe(spark, table):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})

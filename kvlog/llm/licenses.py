@@ -84,7 +84,7 @@ def _search():
     by_seed: dict[str, list] = {}
     patterns = []
     for k, (notice, label, errors) in enumerate(NOTICES):
-        patterns.append((regex.compile(rf"(?b)(?:(?<= )|^)(?:{regex.escape(notice)}){{e<={errors}}}(?= |$)"), notice, label, errors))
+        patterns.append((regex.compile(rf"(?b)(?<= )(?:{regex.escape(notice)}){{e<={errors}}}(?= )"), notice, label, errors))
         for offset, seed in seeds(notice, errors):
             by_seed.setdefault(seed, []).append((k, offset))
     automaton = ahocorasick.Automaton()
@@ -97,20 +97,22 @@ def _search():
 def fuzzy_matches(norm: bytes) -> list[tuple[str, int, int, int, str]]:
     """(label, begin, end, edits, notice) of the best match about each candidate; positions in ``norm``."""
     automaton, patterns = _search()
-    text = norm.decode("latin-1")  # a byte is a character, so positions are those of the bytes
+    # A byte is a character, so positions are those of the bytes; a space on each side bounds all words.
+    text = f" {norm.decode('latin-1')} "
     found, reached = {}, {}
     for last, (size, uses) in automaton.iter(text):
         for k, offset in uses:
             pattern, notice, label, errors = patterns[k]
             start = last + 1 - size - offset
-            a, b = max(0, start - errors - 1), min(len(text), start + len(notice) + errors + 1)
-            if reached.get(k) == (a, b):
+            # With the bounding space, and so that the match may begin and end ``errors`` aside.
+            window = max(0, start - errors - 1), start + len(notice) + errors + 1
+            if reached.get(k) == window:
                 continue
-            reached[k] = (a, b)
-            got = pattern.search(text[a:b])
-            if got is None or (got.start() == 0 and a > 0 and text[a - 1] != " ") or (got.end() == b - a and b < len(text) and text[b] != " "):
-                continue
-            found[k, a + got.start()] = (label, a + got.start(), a + got.end(), sum(got.fuzzy_counts), notice)
+            reached[k] = window
+            got = pattern.search(text[window[0] : window[1]])
+            if got is not None:
+                a = window[0] + got.start() - 1
+                found[k, a] = (label, a, a + got.end() - got.start(), sum(got.fuzzy_counts), notice)
     return sorted(found.values())
 
 

@@ -6,7 +6,10 @@ covering code of radius 1: a perfect Hamming(15, 11) code on 15 bits, all values
 fingerprint's home is its nearest anchor; it is also sent to each anchor within radius plus threshold
 that is the home of some value one bit away. So of two linked fingerprints, one meets the other at its
 home. Distinct fingerprints alone are sent, so exact copies cost nothing, and each anchor's matches
-leave it as the stars of a forest, so large groups of near copies give no pairs.
+leave it as the stars of a forest, so large groups of near copies give no pairs. A hot anchor, with
+more rows than an even partition, is a square of cells: its rows are dealt over blocks, and cell (i, j)
+compares the homes of block i with the rows of block j, so no task holds the anchor whole. Which anchors
+are hot comes from a sample of the distinct fingerprints and decides only where rows are sent.
 
 Edge cases: a null or empty text has fingerprint 0, which links like any other. A null doc_id takes
 part and gets the group's smallest id (null if there is none). Repeated rows are repeated.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: First bit and bits of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BLOCK = 1 << 20
+#: One distinct fingerprint in SAMPLE is read for hot anchors, of which a block has LEAST sampled rows at least.
+SAMPLE, LEAST = 64, 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -167,6 +173,39 @@ def _compare(threshold: int, at_once: int = 2_000_000):
     return run
 
 
+def hot_anchors(fps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted anchors with more rows than an even partition, and the blocks of each: as many as even
+    partitions it has. There are at most as many hot anchors as partitions."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(anchors(batch.column(0).to_numpy().view(np.uint64))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["anchor", "n"])
+
+    some = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).select("fp")
+    sent = 45 * some.count()  # about 45 anchors each
+    even = max(sent / partitions(fps.sparkSession), LEAST)
+    got = some.mapInArrow(count, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > even).orderBy("anchor").collect()
+    return np.array([r["anchor"] for r in got], np.int64), np.array([-(-r["n"] // even) for r in got], np.int64)
+
+
+def cells(fps: np.ndarray, anchor: np.ndarray, home: np.ndarray, blocks: np.ndarray, at_once: int = 500_000) -> Iterator[tuple]:
+    """(key, fingerprint, is home) of rows of hot anchors in all cells that they are sent to; the key is
+    the anchor and the cell. Row i has ``blocks[i]`` blocks at its anchor."""
+    own = ((fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+    step = max(1, at_once // (2 * int(blocks.max(initial=1))))
+    for at in range(0, len(fps), step):
+        part = slice(at, at + step)
+        n = blocks[part]
+        row = np.repeat(np.arange(at, at + len(n)), n)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        # As a row of block j, in the cells (0..n, j); as a home of block i, in the cells (i, 0..n).
+        as_row, as_home = ~(home[row] & (turn == own[row])), home[row]
+        cell = np.concatenate([(turn * blocks[row] + own[row])[as_row], (own[row] * blocks[row] + turn)[as_home]])
+        row, is_home = np.concatenate([row[as_row], row[as_home]]), np.repeat([False, True], [as_row.sum(), as_home.sum()])
+        yield anchor[row] << 32 | cell, fps[row], is_home
+
+
 def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in at most
     ``threshold`` (4) bits."""
@@ -175,11 +214,16 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         for batch in batches:
             own = batch.column(0).to_numpy().view(np.uint64)
             row, anchor, home = anchors(own)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(own[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+            split = np.isin(anchor, hot)
+            parts = [(anchor[~split] << 32, own[row[~split]], home[~split])]
+            blocks = counts[np.searchsorted(hot, anchor[split])]
+            for key, fp, first in chain(parts, cells(own[row[split]], anchor[split], home[split], blocks)):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.array(first)], ["anchor", "fp", "home"])
 
     if threshold > 4:
         raise ValueError("the segments cover thresholds up to 4")
-    sent = fps.select("fp").mapInArrow(send, "anchor int, fp bigint, home boolean")
+    hot, counts = hot_anchors(fps)
+    sent = fps.select("fp").mapInArrow(send, "anchor bigint, fp bigint, home boolean")
     dealt = sent.repartition(partitions(fps.sparkSession), "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(_compare(threshold), "a bigint, b bigint")
 

@@ -268,12 +268,20 @@ def test_simhash(spark, table):
     assert [w for block in simhash.word_blocks(data, 100) for w in block] == data.split()
 
 
-def test_links_against_brute_force(spark):
+@pytest.mark.parametrize(("sample", "least"), [(simhash.SAMPLE, simhash.LEAST), (1, 2)])
+def test_links_against_brute_force(spark, monkeypatch, sample, least):
+    """Alike whether or not hot anchors are cut into cells."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    monkeypatch.setattr(simhash, "LEAST", least)
     rng = random.Random(2)
     fps = [rng.getrandbits(64) for _ in range(300)]
     for _ in range(600):
         fps.append(rng.choice(fps) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))))
+    fps += [fps[0] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 4))) for _ in range(1500)]  # a large group
     fps = np.unique(np.array(fps, np.uint64))
+    if sample == 1:
+        monkeypatch.setattr(simhash, "partitions", lambda spark: 211)
+        assert simhash.hot_anchors(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint"))[1].max() > 2
     a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
     want = simhash.merge_labels(len(fps), a, b)
     links = simhash.near_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint"))

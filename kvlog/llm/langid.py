@@ -31,6 +31,8 @@ PER_LANGUAGE, LANDMARKS, RIDGE, SHARP = 300, 32, 1e-3, 2.0
 WIDTHS = (256, 1 << 13, 1 << 15)
 WIDTH = sum(WIDTHS)
 BLOCK, ROWS = 1 << 20, 64
+#: Parts of a language, of which each gives its first ids.
+PARTS = 64
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII without letters counts as white space.
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -99,26 +101,37 @@ def remainder(key: str, by: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Fit on a bounded sample of labelled texts whose remainder by 3 is not 1."""
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & (remainder(key, 3) != 1))
-    # Ids first, without texts: the first of each language by hash, trimmed before the shuffle.
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    ids = labelled.select(key, lang).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select(key).distinct()
-    # At most per_language ids a language: small enough to broadcast.
-    sample = labelled.select(key, text, lang).filter(F.col(text).isNotNull()).join(F.broadcast(ids), key, "left_semi")
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """key, lang, bits (packed presence) of at most ``per_language`` labelled texts of each language whose
+    remainder by 3 is not 1, even where ids repeat."""
+
+    def first(df: DataFrame, key: str, *by) -> DataFrame:
+        order = [F.xxhash64(key), F.col(key), *([F.col("bits")] if "bits" in df.columns else [])]
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= per_language).drop("rank")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 row = np.zeros(WIDTH, np.uint8)
                 presence(t, row)
                 packed.append(np.packbits(row).tobytes() if has_letter(t) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["key", "lang", "bits"])
 
-    kind = docs.schema[lang].dataType.simpleString()
-    got = sample.select(lang, text).mapInArrow(bits, f"lang {kind}, bits binary").filter("bits IS NOT NULL").collect()
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & (remainder(key, 3) != 1))
+    # Ids first, without texts: the first by hash of each part of a language, then of the language, so that
+    # a task meets PARTS times per_language ids at most, or a PARTS-th of what the scan's tasks send.
+    named = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang"))
+    ids = first(first(named, "key", "lang", F.pmod(F.xxhash64("key"), F.lit(PARTS))), "key", "lang").select("key").distinct()
+    # At most per_language ids a language: small enough to broadcast.
+    chosen = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(ids), "key", "left_semi")
+    kinds = [docs.schema[x].dataType.simpleString() for x in (key, lang)]
+    return first(chosen.mapInArrow(bits, f"key {kinds[0]}, lang {kinds[1]}, bits binary").filter("bits IS NOT NULL"), "key", "lang")
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+    """Fit on a bounded sample of labelled texts whose remainder by 3 is not 1."""
+    got = sample(docs, key, text, lang, per_language).select("lang", "bits").collect()
     if not got:
         return [], np.zeros((WIDTH, 0), np.float32)
     got.sort(key=lambda r: (r["lang"], bytes(r["bits"])))

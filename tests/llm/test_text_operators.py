@@ -109,6 +109,23 @@ def test_language(spark, table, small):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
 
 
+def test_language_sample_is_the_first_by_hash(spark, monkeypatch):
+    """Over all parts of a language, and bounded though one id holds most rows."""
+    monkeypatch.setattr(langid, "PARTS", 3)
+    rows = [(i, f"text {i}", "en" if i % 3 else "fr") for i in range(400)] + [(7, f"again {i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows + [(900, None, "en"), (901, "12", "en")], "doc_id bigint, text string, lang string").repartition(5)
+    got = langid.sample(docs, per_language=20).select("key", "lang").collect()
+    hashed = dict(docs.select("doc_id", F.xxhash64("doc_id")).distinct().collect())
+    own = defaultdict(set)
+    for i, _, x in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            own[x].add((hashed[i], i))
+    for x in ("en", "fr"):
+        found = [r["key"] for r in got if r["lang"] == x]
+        assert 0 < len(found) <= 20 and set(found) <= {i for _, i in sorted(own[x])[:20]}
+    assert sorted(r["key"] for r in got if r["lang"] == "fr") == sorted(i for _, i in sorted(own["fr"])[:20])
+
+
 def test_hot_bigrams_have_parts(spark):
     """Copies of a short text, however many, are dealt over buckets."""
     docs = spark.range(4000).selectExpr("id AS key", "if(id % 3 = 0, 'a b', 'w' || id || ' v' || id) AS text")

@@ -44,6 +44,33 @@ def murmur3(key: bytes, seed: int) -> int:
     return h ^ h >> 16
 
 
+def murmur3_many(keys: list[bytes], hashes: int) -> np.ndarray:
+    """MurmurHash3 of every key (rows) under seeds from 0 (columns), all keys of a length at once."""
+
+    def scrambled(k: np.ndarray) -> np.ndarray:
+        k = k * 0xCC9E2D51
+        return (k << 15 | k >> 17) * 0x1B873593
+
+    out = np.empty((len(keys), hashes), np.uint32)
+    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+    order = np.argsort(sizes, kind="stable")
+    lengths, starts = np.unique(sizes[order], return_index=True)
+    for size, own in zip(lengths.tolist(), np.split(order, starts[1:]), strict=False):
+        padded = -(-size // 4) * 4
+        words = np.frombuffer(b"".join(keys[i].ljust(padded, b"\0") for i in own), "<u4").reshape(len(own), padded // 4)
+        h = np.tile(np.arange(hashes, dtype=np.uint32), (len(own), 1))
+        for j in range(size // 4):
+            h ^= scrambled(words[:, j])[:, None]
+            h = (h << 13 | h >> 19) * 5 + 0xE6546B64
+        if size % 4:
+            h ^= scrambled(words[:, -1])[:, None]
+        h ^= np.uint32(size)
+        h = (h ^ h >> 16) * 0x85EBCA6B
+        h = (h ^ h >> 13) * 0xC2B2AE35
+        out[own] = h ^ h >> 16
+    return out
+
+
 class Bloom:
     def __init__(self, bits: bytearray, hashes: int):
         self.bits, self.hashes = bits, hashes
@@ -82,7 +109,8 @@ def build(keys: DataFrame, by: str, fpr: float, key: str = "key") -> DataFrame:
 def positions(key: str, m: str, hashes: int) -> Column:
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def run(keys: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([[murmur3(bytes(k), i) % int(n) for i in range(hashes)] for k, n in zip(keys, sizes, strict=True)])
+        found = murmur3_many([bytes(k) for k in keys], hashes).astype(np.int64)
+        return pd.Series(list(found % sizes.to_numpy(np.int64)[:, None]), dtype=object)
 
     return run(F.col(key).cast("binary"), F.col(m))
 
@@ -92,6 +120,5 @@ def probe(keys: DataFrame, bits: DataFrame, sizes: DataFrame, by: str, fpr: floa
     hashes = n_hashes(bits_per_key(fpr))
     asked = keys.select(by, F.col(key).alias("k")).distinct().join(sizes, by)
     each = asked.select(by, "k", F.explode(F.array_distinct(positions("k", "m", hashes))).alias("bit"))
-    need = each.groupBy(by, "k").agg(F.count("*").alias("need"))
-    got = each.join(bits, [by, "bit"], "left_semi").groupBy(by, "k").agg(F.count("*").alias("got"))
-    return need.join(got, [by, "k"]).filter("need = got").select(by, F.col("k").alias(key))
+    held = each.join(bits.select(by, "bit", F.lit(True).alias("held")), [by, "bit"], "left")
+    return held.groupBy(by, "k").agg(F.bool_and(F.col("held").isNotNull()).alias("all")).filter("all").select(by, F.col("k").alias(key))

@@ -42,3 +42,19 @@ def test_bloom():
     assert not made.may_contain(b"guava") and not made.may_contain(b"orange")
     one = bloom.Bloom(bytearray([0b10110010]), 3)
     assert [i for i in range(8) if one.bits[0] >> i & 1] == [1, 4, 5, 7]
+
+
+def test_murmur3_of_many_keys():
+    keys = [bytes(range(i % 256)) * (i % 3) + b"\xff" * (i % 7) for i in range(300)]
+    assert bloom.murmur3_many(keys, 7).tolist() == [[bloom.murmur3(k, i) for i in range(7)] for k in keys]
+    assert bloom.murmur3_many([], 7).shape == (0, 7)
+
+
+def test_bloom_frames_match_single_filters(spark):
+    own = {run: [f"key{run}-{i}" for i in range(run * 40)] for run in (1, 2, 3)}
+    keys = spark.createDataFrame([(r, k) for r, x in own.items() for k in x], "run_id int, key string")
+    asked = [(r, f"key{q}-{i}") for r in own for q in own for i in range(200)]
+    sizes = spark.createDataFrame([(r, bloom.n_bits(len(x), 10)) for r, x in own.items()], "run_id int, m bigint")
+    got = bloom.probe(spark.createDataFrame(asked, "run_id int, key string"), bloom.build(keys, "run_id", 0.01), sizes, "run_id", 0.01)
+    single = {r: bloom.Bloom.of([k.encode() for k in x], 10) for r, x in own.items()}
+    assert sorted(map(tuple, got.collect())) == sorted((r, k) for r, k in asked if single[r].may_contain(k.encode()))

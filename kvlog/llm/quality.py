@@ -21,15 +21,16 @@ from .common import SPACE, materialise, table
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 SHARE, LEAST_DOCS, KEEP = 0.05, 10, 0.3
-SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
+SYMBOLS = "#*$%&|<>"
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
-def normalised(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), SPACE + "+", " ")), "[0-9]+", "0"), "^ +| +$", "")
+def normalised(words: Column) -> Column:
+    """A line by its words."""
+    return F.regexp_replace(F.lower(F.array_join(words, " ")), "[0-9]+", "0")
 
 
 def base_features(docs: DataFrame) -> DataFrame:
@@ -40,10 +41,10 @@ def base_features(docs: DataFrame) -> DataFrame:
     window = lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))
     df = df.withColumns({
         "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(F.translate("t", BLANKS, "")).cast("long"),
-        "n_symbols": (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_symbols": F.when(F.col("t").rlike(f"[{SYMBOLS}]"), F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).otherwise(0).cast("long"),
         "n_dup_lines": (F.size("spoken") - F.size(F.array_distinct("spoken"))).cast("long"),
-        "lines": F.transform("spoken", lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("w"))),
+        "lines": F.transform(F.transform("spoken", words_of), lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(x).alias("w"))),
         "hashes": F.slice(F.transform("words", window), 1, F.greatest(F.size("words") - 2, F.lit(0))),
     })
     # Only texts in which a window comes again pay for sorting with positions.

@@ -1,4 +1,4 @@
-"""A pipeline over the documents table: language ID, quality rules, SimHash near-dedup, best-fit packing.
+"""A pipeline over the documents table: language ID, quality rules, near-dedup by Jaccard similarity, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
 return the columns of documents. Rows that repeat (same id and text) are decided on alike; of rows that
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlog.llm import langid, packing, quality, simhash
+from kvlog.llm import langid, near, packing, quality
 from kvlog.llm.common import materialise, table
 
 #: A language below this share of the scores' softmax is rejected: about chance among the languages known.
@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; of rows that share that id one.
     Of rows without an id one stays if its group has no row with an id."""
-    groups = simhash.near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = near.near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Joined by merging at every size: ids grow with the documents.
     ids = materialise(groups.groupBy(F.col("doc_id").alias("own_id")).agg((F.count("*") > 1).alias("repeated")), "kept").hint("merge")
     same = docs["doc_id"].eqNullSafe(ids["own_id"])

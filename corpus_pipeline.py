@@ -1,8 +1,8 @@
 """A pipeline over the documents table: language ID, quality rules, near-dedup by Jaccard similarity, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
-return the columns of documents. Rows that repeat (same id and text) are decided on alike; of rows that
-share an id one stays in near-dedup. A null text is rejected by the first stage."""
+return the columns of documents. Rows that repeat (same id and text) are decided on alike; of each
+group of near-duplicates one row stays in near-dedup. A null text is rejected by the first stage."""
 
 from __future__ import annotations
 
@@ -30,16 +30,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that share that id one.
-    Of rows without an id one stays if its group has no row with an id."""
-    groups = near.near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One document of each near-duplicate group: that with the smallest id, of those that share it the
+    one with the least hash of its text; one without an id only if its group has none with an id."""
+    rows = near.near_groups(docs).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "th", "n")).alias("m")
     # Joined by merging at every size: ids grow with the documents.
-    ids = materialise(groups.groupBy(F.col("doc_id").alias("own_id")).agg((F.count("*") > 1).alias("repeated")), "kept").hint("merge")
-    same = docs["doc_id"].eqNullSafe(ids["own_id"])
-    once = docs.join(ids.filter("NOT repeated"), same, "left_semi")
-    if ids.filter("repeated").isEmpty():
+    kept = rows.groupBy("root").agg(least).select(F.col("m.doc_id").alias("own_id"), F.col("m.th").alias("own_th"), (F.col("m.n") > 1).alias("repeated"))
+    kept = materialise(kept, "kept").hint("merge")
+    same = docs["doc_id"].eqNullSafe(kept["own_id"]) & (near.text_hash() == kept["own_th"])
+    once = docs.join(kept.filter("NOT repeated"), same, "left_semi")
+    if kept.filter("repeated").isEmpty():
         return once
-    return once.unionAll(docs.join(ids.filter("repeated"), same, "left_semi").dropDuplicates(["doc_id"]))
+    again = docs.join(kept.filter("repeated"), same, "left_semi").withColumn("own_th", near.text_hash())
+    return once.unionAll(again.dropDuplicates(["doc_id", "own_th"]).drop("own_th"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,11 @@ def test_stage_keeps_the_least_of_each_group(spark):
 @pytest.mark.parametrize(("a", "b", "want"), [(b"a b c d e", b"A  B c d e", 1.0), (b"", b"", 1.0), (b"", b"a", 0.0), (b"a b c d e f", b"a b c d e g", 1 / 3)])
 def test_jaccard(a, b, want):
     assert near.jaccard(near.shingles(a), near.shingles(b)) == want
+
+
+def test_ids_that_are_null_or_shared(spark):
+    text = [" ".join(f"{x}{i}" for i in range(80)) for x in "abcdef"]
+    made = [(None, text[0]), (None, text[1]), (None, text[2]), (5, text[2]), (7, text[3]), (7, text[4]), (8, text[4]), (9, text[5]), (9, text[5])]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in made], SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, text[0]), (0, text[1]), (5, text[2]), (7, text[3]), (7, text[4]), (9, text[5])]

@@ -129,6 +129,16 @@ def two_way_merge(spark, d):
     return resolve.two_way_merge(newer, older)
 
 
+@query("two_way_merge_whole", """, h AS (SELECT *, row_number() OVER (PARTITION BY run_id > (SELECT max(run_id) // 2 FROM log), key ORDER BY seq DESC) AS r2, run_id > (SELECT max(run_id) // 2 FROM log) AS newer FROM log)
+SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM (SELECT * FROM h WHERE newer AND r2 = 1) a FULL JOIN (SELECT * FROM h WHERE NOT newer AND r2 = 1) b ON a.key = b.key""")
+def two_way_merge_whole(spark, d):
+    """The newer half of all runs with the older half, each resolved."""
+    log = events_log(spark, d)
+    log = log.crossJoin(F.broadcast(log.agg(F.floor(F.max("run_id") / 2).alias("half"))))  # one row
+    newer, older = (resolve.newest_per_key(log.filter(side)).select("key", "value") for side in ("run_id > half", "run_id <= half"))
+    return resolve.two_way_merge(newer, older)
+
+
 @query("kway_merge", "SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run_id DESC) AS r2 FROM run) WHERE r2 = 1")
 def kway_merge(spark, d):
     return resolve.newest_per_key(runs_of(events_log(spark, d)), F.col("run_id").desc()).select("key", "value").orderBy("key")

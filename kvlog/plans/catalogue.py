@@ -247,6 +247,12 @@ def wal_replay(spark, d):
     return resolve.newest_per_key(events_log(spark, d).filter("seq >= 7000")).select("key", "value", "seq")
 
 
+@query("wal_replay_whole", "SELECT key, value, seq FROM newest")
+def wal_replay_whole(spark, d):
+    """No run is flushed, so the whole log is replayed."""
+    return resolve.newest_per_key(events_log(spark, d)).select("key", "value", "seq")
+
+
 @query("manifest_live", "SELECT user_id AS run_id, event_id AS version FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'signup'", "")
 def manifest_live(spark, d):
     action = F.when(F.col("event_type") == "signup", "remove").otherwise("add")

@@ -8,7 +8,7 @@ from kvlog.plans import catalogue
 DATA = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["two_way_merge_whole"])
+@pytest.mark.parametrize("name", ["two_way_merge_whole", "wal_replay_whole"])
 def test_whole_log(spark, name):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")

@@ -18,18 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one is made
-    only where that is unset, which means a single machine (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """This application's part of the folder that driver and executors share, spark.checkpoint.dir. Where
+    that is unset a temporary one is made, on a single machine alone (tests). It goes when Spark ends."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="kvlog-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/kvlog-{spark.sparkContext.applicationId}"
+        context._conf.set("spark.checkpoint.dir", root)
+    own = f"{root.rstrip('/')}/kvlog-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return own
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, and a
-    lost executor costs no more than the reading. The files stay until ``release``."""
+    lost executor costs no more than the reading. The files stay until ``release`` or Spark's end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

@@ -7,6 +7,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import bounds, part_of, shuffle_partitions
+
 
 def overlapping(zones: DataFrame, lower, upper) -> DataFrame:
     """Zones that may hold keys of [lower, upper)."""
@@ -20,19 +22,22 @@ def find_run(last_keys: list[bytes], key: bytes) -> int | None:
 
 
 def find_block(probes: DataFrame, zones: DataFrame, key: str = "key", block: str = "block") -> DataFrame:
-    """For each probe the first block whose last key is at or after it; null past the end.
-
-    Zones and probes are merged into one order and each probe takes the next zone's block, in two steps:
-    within ranges of keys, then across the ranges, so that no task holds all rows and nothing is paired."""
-    points = probes.select(F.col(key).alias("k"), F.lit(None).cast("long").alias("b"), F.lit(1).alias("probe"))
-    ends = zones.select(F.col("last_key").alias("k"), F.col(block).cast("long").alias("b"), F.lit(0).alias("probe"))
-    # One range a partition; a key's rows are in one range.
-    ranged = points.unionAll(ends).repartitionByRange("k").withColumn("part", F.spark_partition_id())
+    """Every probe with the first block whose last key is at or after it; null past the end or for a null key.
+
+    Distinct keys and zones are merged into one order and each key takes the next zone's block, in two
+    steps: within ranges of keys, then across the ranges, so that no task holds all rows and nothing is
+    paired. The ranges' bounds are values, so every step sees the same ranges."""
+    points = probes.select(F.col(key).alias("k")).filter("k IS NOT NULL").distinct()
+    ends = zones.select(F.col("last_key").alias("k"), F.col(block).cast("long").alias("b"))
+    cuts = bounds(ends, "k", shuffle_partitions(probes))
+    both = points.select("k", F.lit(None).cast("long").alias("b"), F.lit(1).alias("probe")).unionAll(ends.select("k", "b", F.lit(0)))
+    ranged = both.withColumn("part", part_of(F.col("k"), cuts))
     behind = Window.partitionBy("part").orderBy(F.col("k").desc(), F.col("probe")).rowsBetween(Window.unboundedPreceding, 0)
-    near = ranged.withColumn("found", F.last("b", ignorenulls=True).over(behind))
-    heads = ranged.filter("probe = 0").groupBy("part").agg(F.min(F.struct("k", "b"))["b"].alias("first"))
-    parts = ranged.select("part").distinct().join(heads, "part", "left")
+    near = ranged.withColumn("found", F.last("b", ignorenulls=True).over(behind)).filter("probe = 1")
+    heads = ends.groupBy(part_of(F.col("k"), cuts).alias("part")).agg(F.min(F.struct("k", "b"))["b"].alias("first"))
+    # One row for each range, so a window over all of them is small.
+    parts = probes.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("part")).join(heads, "part", "left")
     later = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    # One row a partition, so a window over all of them is small.
-    carry = parts.withColumn("carried", F.last("first", ignorenulls=True).over(later)).select("part", "carried")
-    return near.filter("probe = 1").join(F.broadcast(carry), "part").select(F.col("k").alias(key), F.coalesce("found", "carried").alias(block))
+    carry = parts.select("part", F.last("first", ignorenulls=True).over(later).alias("carried"))
+    found = near.join(F.broadcast(carry), "part").select(F.col("k").alias(key), F.coalesce("found", "carried").alias(block))
+    return probes.join(found, key, "left")

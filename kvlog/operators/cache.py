@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .layout import folded
+
 
 class LruCache:
     def __init__(self, capacity: int):
@@ -16,6 +17,9 @@ class LruCache:
     def __len__(self) -> int:
         return len(self._held)
 
+    def __contains__(self, key) -> bool:
+        return key in self._held
+
     def get(self, key):
         if key in self._held:
             self._held.move_to_end(key)
@@ -28,17 +32,24 @@ class LruCache:
         if len(self._held) > self.capacity:
             self._held.popitem(last=False)
 
+    def drop(self, key) -> None:
+        self._held.pop(key, None)
+
+    def clear(self) -> None:
+        self._held.clear()
+
 
 def lru_hits(trace: DataFrame, capacity: int, by: str = "sst_id", order: str = "access_id", block: str = "block_index") -> DataFrame:
     """Adds hit to each access, with one cache for each table, as each open table has its own."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part, cache = part.sort_values(order, kind="stable"), LruCache(capacity)
-        hits = []
-        for b in part[block].tolist():
-            hits.append(cache.get(b) is not None)
+    def start():
+        cache = LruCache(capacity)
+
+        def access(b) -> bool:
+            hit = cache.get(b) is not None
             cache.put(b, True)
-        return part.assign(hit=hits)
+            return hit
+
+        return access
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trace.schema) + ", hit boolean"
-    return trace.groupBy(by).applyInPandas(run, schema)
+    return folded(trace, by, order, block, start, "hit", "boolean")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import shuffle_partitions
+
 #: Two length prefixes and one offset of 16 bits for each entry, and the count of a block.
 ENTRY_OVERHEAD, BLOCK_OVERHEAD = 6, 2
 
@@ -14,27 +18,42 @@ def entry_bytes(key: Column, value: Column) -> Column:
     return F.octet_length(key) + F.octet_length(value)
 
 
-def greedy(sizes, capacity: int, fixed: int = 0) -> list[int]:
-    """The container of each item in order: a new one begins when an item doesn't fit."""
-    out, at, used = [], 0, fixed
-    for size in sizes:
+def folded(df: DataFrame, by: str, order: str, value: str, start: Callable[[], Callable], name: str, kind: str) -> DataFrame:
+    """Adds a column: for the rows of each group in order, what a function made by ``start`` gives for
+    ``value``. Groups are sorted and read as streams, so that of a group only the function's state is held."""
+    at_by, at_value = df.columns.index(by), df.columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, step = None, None
+        for batch in batches:
+            out = []
+            for group, x in zip(batch.column(at_by).to_pylist(), batch.column(at_value).to_pylist(), strict=True):
+                if step is None or group != own:
+                    own, step = group, start()
+                out.append(step(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` {kind}"
+    return df.repartition(shuffle_partitions(df), by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+
+
+def greedy(capacity: int, fixed: int = 0) -> Callable[[int], int]:
+    """A function that gives the container of each size in order: a new one begins when an item doesn't fit."""
+    at, used = 0, fixed
+
+    def step(size: int) -> int:
+        nonlocal at, used
         if used > fixed and used + size > capacity:
             at, used = at + 1, fixed
         used += size
-        out.append(at)
-    return out
+        return at
 
+    return step
 
-def greedy_layout(df: DataFrame, by: str, order: str, size: str, capacity: int, fixed: int = 0, name: str = "container") -> DataFrame:
-    """``greedy`` within each group of ``by`` (a run, a writer). It is sequential in a group, so groups
-    are its parallelism and must be of bounded size."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        return part.assign(**{name: greedy(part[size].tolist(), capacity, fixed)})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` bigint"
-    return df.groupBy(by).applyInPandas(fold, schema)
+def greedy_layout(df: DataFrame, by: str, order: str, size: str, capacity: int, fixed: int = 0, name: str = "container") -> DataFrame:
+    """``greedy`` within each group of ``by`` (a run, a writer), whose rows come one after the other."""
+    return folded(df, by, order, size, lambda: greedy(capacity, fixed), name, "bigint")
 
 
 def freeze_layout(writes: DataFrame, by: str, capacity: int) -> DataFrame:

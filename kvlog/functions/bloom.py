@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def bits_per_key(fpr: float) -> int:
@@ -97,28 +97,69 @@ class Bloom:
         return cls(bytearray(data[:-1]), data[-1])
 
 
+def _counts(keys: DataFrame, by: str, fpr: float, key: str) -> DataFrame:
+    """(by, m): each run's filter size in bits."""
+    return keys.groupBy(by).agg((F.ceil(F.countDistinct(key) * bits_per_key(fpr) / 8) * 8).cast("long").alias("m"))
+
+
+def _runs(df: DataFrame, *order: str) -> DataFrame:
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order[:-1]).sortWithinPartitions(*order)
+
+
 def build(keys: DataFrame, by: str, fpr: float, key: str = "key") -> DataFrame:
-    """(by, bit): the set bits of each run's filter."""
-    bpk = bits_per_key(fpr)
-    sized = keys.groupBy(by).agg(F.countDistinct(key).alias("n_keys")).withColumn("m", (F.ceil(F.col("n_keys") * bpk / 8) * 8).cast("long"))
-    hashed = keys.select(by, F.col(key).alias("k")).distinct().join(sized, by)
-    at = hashed.select(by, F.explode(positions("k", "m", n_hashes(bpk))).alias("bit"))
-    return at.distinct()
-
-
-def positions(key: str, m: str, hashes: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(keys: pd.Series, sizes: pd.Series) -> pd.Series:
-        found = murmur3_many([bytes(k) for k in keys], hashes).astype(np.int64)
-        return pd.Series(list(found % sizes.to_numpy(np.int64)[:, None]), dtype=object)
-
-    return run(F.col(key).cast("binary"), F.col(m))
-
-
-def probe(keys: DataFrame, bits: DataFrame, sizes: DataFrame, by: str, fpr: float, key: str = "key") -> DataFrame:
-    """(by, key) pairs of ``keys`` that the run's filter may hold. sizes: (by, m)."""
-    hashes = n_hashes(bits_per_key(fpr))
-    asked = keys.select(by, F.col(key).alias("k")).distinct().join(sizes, by)
-    each = asked.select(by, "k", F.explode(F.array_distinct(positions("k", "m", hashes))).alias("bit"))
-    held = each.join(bits.select(by, "bit", F.lit(True).alias("held")), [by, "bit"], "left")
-    return held.groupBy(by, "k").agg(F.bool_and(F.col("held").isNotNull()).alias("all")).filter("all").select(by, F.col("k").alias(key))
+    """(by, m, bits): each run's filter as bytes. A run's keys are read as a stream beside its bits."""
+    hashes, kind = n_hashes(bits_per_key(fpr)), keys.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, bits, made = None, None, []
+        for batch in batches:
+            groups, m = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            found = murmur3_many(batch.column(1).to_pylist(), hashes).astype(np.int64) % m[:, None]
+            cuts = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]] + [len(groups)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if bits is None or groups[a] != own:
+                    if bits is not None:
+                        made.append((own, len(bits), bits))
+                    own, bits = groups[a], np.zeros(int(m[a]), np.uint8)
+                bits[found[a:b].ravel()] = 1
+            while made:
+                yield row(batch.column(0).type, *made.pop(0))
+        if bits is not None:
+            yield row(batch.column(0).type, own, len(bits), bits)
+
+    def row(kind: pa.DataType, group, m: int, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([group], kind), pa.array([m]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["own", "m", "bits"])
+
+    sized = keys.select(by, F.col(key).cast("binary").alias("k")).join(_counts(keys, by, fpr, key), by)
+    return _runs(sized.select(by, "k", "m"), by, "k").mapInArrow(run, f"own {kind}, m bigint, bits binary").withColumnRenamed("own", by)
+
+
+def probe(keys: DataFrame, filters: DataFrame, by: str, fpr: float, key: str = "key", at_once: int = 100_000) -> DataFrame:
+    """Rows (by, key) of ``keys``, each once, that the run's filter may hold. A filter leads the rows of its
+    run, in parts of about ``at_once`` keys. Keys of a run without a filter do not pass."""
+    hashes, kinds = n_hashes(bits_per_key(fpr)), [keys.schema[c].dataType.simpleString() for c in (by, key)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, own = None, None
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            leads = batch.column(2)
+            cuts = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]] + [len(groups)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if groups[a] != own:
+                    own, bits = groups[a], None
+                if leads[a].is_valid:
+                    bits, a = np.frombuffer(leads[a].as_py(), np.uint8), a + 1
+                if bits is not None and len(bits) and a < b:
+                    at = murmur3_many(batch.column(4).slice(a, b - a).to_pylist(), hashes).astype(np.int64) % (8 * len(bits))
+                    kept[a:b] = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["own", "k"]).filter(pa.array(kept))
+
+    asked = keys.select(F.col(by).alias("own"), F.col(key).alias("k")).filter("k IS NOT NULL").distinct()
+    parts = asked.groupBy("own").agg(F.ceil(F.count("*") / at_once).cast("long").alias("parts"))
+    rows = asked.join(parts, "own").select("own", F.pmod(F.xxhash64("k"), "parts").alias("part"), F.lit(None).cast("binary").alias("lead"), "k", F.col("k").cast("binary").alias("raw"))
+    none = F.lit(None)
+    leads = parts.join(filters.select(F.col(by).alias("own"), "bits"), "own")
+    leads = leads.select("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("bits").alias("lead"), none.cast(kinds[1]).alias("k"), none.cast("binary").alias("raw"))
+    return _runs(leads.unionAll(rows), "own", "part", "raw").mapInArrow(run, f"own {kinds[0]}, k {kinds[1]}").toDF(by, key)

@@ -54,7 +54,11 @@ def test_bloom_frames_match_single_filters(spark):
     own = {run: [f"key{run}-{i}" for i in range(run * 40)] for run in (1, 2, 3)}
     keys = spark.createDataFrame([(r, k) for r, x in own.items() for k in x], "run_id int, key string")
     asked = [(r, f"key{q}-{i}") for r in own for q in own for i in range(200)]
-    sizes = spark.createDataFrame([(r, bloom.n_bits(len(x), 10)) for r, x in own.items()], "run_id int, m bigint")
-    got = bloom.probe(spark.createDataFrame(asked, "run_id int, key string"), bloom.build(keys, "run_id", 0.01), sizes, "run_id", 0.01)
+    filters = bloom.build(keys, "run_id", 0.01)
     single = {r: bloom.Bloom.of([k.encode() for k in x], 10) for r, x in own.items()}
-    assert sorted(map(tuple, got.collect())) == sorted((r, k) for r, k in asked if single[r].may_contain(k.encode()))
+    assert {r.run_id: (r.m, bytes(r.bits)) for r in filters.collect()} == {r: (8 * len(b.bits), bytes(b.bits)) for r, b in single.items()}
+    want = sorted((r, k) for r, k in asked if single[r].may_contain(k.encode()))
+    assert sum(k in own[r] for r, k in want) == sum(map(len, own.values())) and len(want) < 300
+    for at_once in (100_000, 50):  # a run's keys in parts
+        got = bloom.probe(spark.createDataFrame([*asked, (9, "no filter"), (1, None)], "run_id int, key string"), filters, "run_id", 0.01, at_once=at_once)
+        assert sorted(map(tuple, got.collect())) == want

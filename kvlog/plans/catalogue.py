@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, codec
 from ..model import StoreOptions, tombstone
-from ..operators import cache, layout, policy, prune, read, resolve
+from ..operators import cache, layout, policy, prune, ranges, read, resolve
 from ..sources.manifest import live_runs
 
 RUN = 1000
@@ -121,14 +121,6 @@ def shadowed_versions(spark, d):
     return resolve.shadowed(events_log(spark, d)).groupBy("key").agg(F.count("*").alias("n_shadowed"))
 
 
-@query("two_way_merge", "SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM (SELECT * FROM run WHERE run_id % 2 = 1 AND run_id = (SELECT max(run_id) FROM run WHERE run_id % 2 = 1)) a FULL JOIN (SELECT * FROM run WHERE run_id = (SELECT max(run_id) FROM run WHERE run_id % 2 = 0)) b ON a.key = b.key")
-def two_way_merge(spark, d):
-    runs = runs_of(events_log(spark, d))
-    last = lambda odd: runs.filter(F.col("run_id") % 2 == odd).agg(F.max("run_id").alias("run_id"))
-    newer, older = (runs.join(F.broadcast(last(k)), "run_id").select("key", "value") for k in (1, 0))
-    return resolve.two_way_merge(newer, older)
-
-
 @query("two_way_merge_whole", """, h AS (SELECT *, row_number() OVER (PARTITION BY run_id > (SELECT max(run_id) // 2 FROM log), key ORDER BY seq DESC) AS r2, run_id > (SELECT max(run_id) // 2 FROM log) AS newer FROM log)
 SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM (SELECT * FROM h WHERE newer AND r2 = 1) a FULL JOIN (SELECT * FROM h WHERE NOT newer AND r2 = 1) b ON a.key = b.key""")
 def two_way_merge_whole(spark, d):
@@ -141,7 +133,12 @@ def two_way_merge_whole(spark, d):
 
 @query("kway_merge", "SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run_id DESC) AS r2 FROM run) WHERE r2 = 1")
 def kway_merge(spark, d):
-    return resolve.newest_per_key(runs_of(events_log(spark, d)), F.col("run_id").desc()).select("key", "value").orderBy("key")
+    """Four sources, a quarter of all runs each, the newest first."""
+    runs = runs_of(events_log(spark, d))
+    runs = runs.crossJoin(F.broadcast(runs.agg(F.max("run_id").alias("most"))))  # one row
+    quarter = lambda k: runs.filter(F.floor(F.col("run_id") * 4 / (F.col("most") + 1)) == k)
+    sources = [resolve.newest_per_key(quarter(k)).select("key", "value", "is_deleted", "seq") for k in (3, 2, 1, 0)]
+    return resolve.kway_merge(sources).select("key", "value").orderBy("key")
 
 
 @query("level_merge", """SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run_id % 4, run_id DESC) AS r2 FROM run) WHERE r2 = 1 AND value <> ''""")
@@ -191,13 +188,7 @@ def find_block(spark, d):
 
 @query("split_by_size", "SELECT file, min(key) AS first_key, max(key) AS last_key, count(*) AS n FROM (SELECT key, (row_number() OVER (ORDER BY key) - 1) * 16 // 65536 AS file FROM e) GROUP BY file", ORDERS_SQL)
 def split_by_size(spark, d):
-    # Ranks across range partitions: counts of the parts before, then a rank within; no global window.
-    ranged = orders_entries(spark, d).repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("key"))
-    placed = ranged.withColumn("r", rank).join(F.broadcast(counts.select("part", before.alias("before"))), "part")
-    files = placed.withColumn("file", F.floor((F.col("before") + F.col("r") - 1) * 16 / 65536).cast("long"))
+    files = ranges.with_rank(orders_entries(spark, d), "key").withColumn("file", F.floor(F.col("rank") * 16 / 65536).cast("long"))
     return files.groupBy("file").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n"))
 
 
@@ -218,7 +209,11 @@ def freeze_fold(spark, d):
 ORACLES["freeze_fold"] = ORACLES["freeze_fold"].replace("WITH log", "WITH RECURSIVE log", 1).replace("FROM fr JOIN s ON s.run_id = fr.run_id AND s.i = fr.i + 1", "FROM f JOIN s ON s.run_id = f.run_id AND s.i = f.i + 1")
 
 
-@query("block_pack", None)
+@query("block_pack", """, s AS (SELECT run_id, key, value, length(key) + length(value) + 6 AS size, row_number() OVER (PARTITION BY run_id ORDER BY key) AS i FROM run),
+f AS (SELECT run_id, i, key, value, 2 + size AS used, 0 AS block FROM s WHERE i = 1 UNION ALL
+      SELECT s.run_id, s.i, s.key, s.value, CASE WHEN used + size > 256 THEN 2 + size ELSE used + size END, block + CASE WHEN used + size > 256 THEN 1 ELSE 0 END
+      FROM f JOIN s ON s.run_id = f.run_id AND s.i = f.i + 1)
+SELECT run_id, CAST(block AS BIGINT) AS block, min(key) AS first_key, max(key) AS last_key, count(*) AS n_entries, CAST(sum(length(key) + length(value)) AS BIGINT) AS n_bytes FROM f GROUP BY run_id, block""", LOG_SQL.replace("WITH log", "WITH RECURSIVE log", 1))
 def block_pack(spark, d):
     runs = runs_of(events_log(spark, d)).select("key", "value", "run_id")
     return layout.zone_map(layout.block_layout(runs, "run_id", 256), "run_id", "block")
@@ -242,11 +237,6 @@ def entry_encode(spark, d):
     return resolve.newest_per_key(events_log(spark, d)).select("key", F.hex(codec.encode_entry(F.col("key"), F.col("value"))).alias("entry"))
 
 
-@query("wal_replay", "SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r2 FROM log WHERE seq >= 7000) WHERE r2 = 1")
-def wal_replay(spark, d):
-    return resolve.newest_per_key(events_log(spark, d).filter("seq >= 7000")).select("key", "value", "seq")
-
-
 @query("wal_replay_whole", "SELECT key, value, seq FROM newest")
 def wal_replay_whole(spark, d):
     """No run is flushed, so the whole log is replayed."""
@@ -296,26 +286,36 @@ def bloom_params(spark, d):
     return spark.createDataFrame(rows, "fpr double, bits_per_key int, hashes int")
 
 
-def _bloom(spark, d):
-    runs = events_log(spark, d).select("run_id", "key").distinct()
-    sizes = runs.groupBy("run_id").agg((F.ceil(F.count("*") * bloom.bits_per_key(0.01) / 8) * 8).cast("long").alias("m"))
-    return runs, sizes, bloom.build(runs, "run_id", 0.01)
-
-
-@query("bloom_bits", None)
+@query("bloom_bits", "SELECT run_id, CAST(ceil(count(DISTINCT key) * 10 / 8) * 8 AS BIGINT) AS m, true AS plausible FROM log GROUP BY run_id")
 def bloom_bits(spark, d):
-    return _bloom(spark, d)[2].groupBy("run_id").agg(F.count("*").alias("bits_set"))
+    """Each run's filter size, and whether about half of its bits are set: 7 hashes of 10 bits a key set 0.503 of them."""
+    keys = events_log(spark, d).select("run_id", "key").distinct()
+    n_set = F.aggregate(F.sequence(F.lit(1), F.length("bits")), F.lit(0), lambda n, i: n + F.bit_count(F.conv(F.hex(F.substring("bits", i, F.lit(1))), 16, 10).cast("int")))
+    return bloom.build(keys, "run_id", 0.01).select("run_id", "m", (n_set / F.col("m")).between(0.4, 0.6).alias("plausible"))
 
 
-@query("bloom_probe", "SELECT DISTINCT run_id, key FROM log")
+@query("bloom_probe", """, n AS (SELECT max(run_id) + 1 AS runs FROM log),
+a AS (SELECT c_custkey % runs AS run_id, 'u' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer, n),
+m AS (SELECT a.run_id, a.key, r.key IS NOT NULL AS member FROM a LEFT JOIN (SELECT DISTINCT run_id, key FROM log) r ON r.run_id = a.run_id AND r.key = a.key)
+SELECT run_id, count(*) AS n_asked, CAST(sum(CASE WHEN member THEN 1 ELSE 0 END) AS BIGINT) AS n_members, 0 AS n_missed, true AS few_false FROM m GROUP BY run_id""")
 def bloom_probe(spark, d):
-    """Every key that a run has passes its filter."""
-    runs, sizes, bits = _bloom(spark, d)
-    return bloom.probe(runs, bits, sizes, "run_id", 0.01)
-
-
-@query("block_crc", None)
+    """Each customer is asked for in one run. Every member passes its filter, and few others do."""
+    held = events_log(spark, d).select("run_id", "key").distinct()
+    runs = held.agg((F.max("run_id") + 1).alias("runs"))
+    asked = _table(spark, d, "customer").crossJoin(F.broadcast(runs)).select((F.col("c_custkey") % F.col("runs")).alias("run_id"), F.format_string("u%08d", "c_custkey").alias("key"))  # one row
+    passed = bloom.probe(asked, bloom.build(held, "run_id", 0.01), "run_id", 0.01).withColumn("passed", F.lit(True))
+    rows = asked.join(held.withColumn("member", F.lit(True)), ["run_id", "key"], "left").join(passed, ["run_id", "key"], "left")
+    count = lambda c: F.count(F.when(c, 1))
+    member, got = F.col("member").isNotNull(), F.col("passed").isNotNull()
+    return rows.groupBy("run_id").agg(
+        F.count("*").alias("n_asked"), count(member).alias("n_members"), count(member & ~got).cast("int").alias("n_missed"),
+        (count(~member & got) <= 3 + 0.03 * count(~member)).alias("few_false"),
+    )
+
+
+@query("block_crc", "SELECT run_id, key, seq % 5 <> 0 AS ok FROM run")
 def block_crc(spark, d):
-    entry = codec.encode_entry(F.col("key"), F.col("value"))
-    runs = runs_of(events_log(spark, d)).withColumn("entry", entry).withColumn("crc", F.crc32("entry"))
-    return runs.withColumn("ok", codec.checksum_ok(F.col("entry"), F.col("crc"))).select("run_id", "key", "crc", "ok")
+    """Entries with their checksums, of which every fifth is damaged afterwards."""
+    runs = runs_of(events_log(spark, d)).withColumn("entry", codec.encode_entry(F.col("key"), F.col("value")))
+    damaged = F.when(F.col("seq") % 5 == 0, F.concat("entry", F.lit(b"!"))).otherwise(F.col("entry"))
+    return runs.select("run_id", "key", codec.checksum_ok(damaged, F.crc32("entry")).alias("ok"))

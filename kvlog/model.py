@@ -21,7 +21,8 @@ LOG = T.StructType([
 
 @dataclass(frozen=True)
 class StoreOptions:
-    """What can be set before a store is opened."""
+    """What can be set before a store is opened. A block is a Parquet page; ``bloom_fpr`` is the rate of
+    the runs' Bloom filters; ``cache_entries`` are kept of what single reads have found."""
 
     block_bytes: int = 4 << 20
     memtable_bytes: int = 128 << 20
@@ -32,7 +33,7 @@ class StoreOptions:
     enable_wal: bool = False
     bloom_fpr: float = 0.01
     run_bytes: int = 128 << 20
-    sync_reads: int = 8
+    cache_entries: int = 1024
 
     def __post_init__(self):
         if self.memtable_limit < 2:

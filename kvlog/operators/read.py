@@ -55,11 +55,15 @@ def prefix_scan(log: DataFrame, prefix: bytes) -> DataFrame:
 
 
 class Cursor:
-    """A cursor over an ordered frame, a partition at a time."""
+    """A cursor over a frame in the order of its keys, a partition at a time. It begins at the first row
+    (the last key, if ``reverse``); ``prev`` steps the other way, and ``seek`` goes to a key."""
 
-    def __init__(self, ordered: DataFrame):
-        self._rows: Iterator[Row] = ordered.select("key", "value").toLocalIterator()
+    def __init__(self, ordered: DataFrame, reverse: bool = False):
+        self._frame, self._reverse = ordered.select("key", "value"), reverse
+        self._rows: Iterator[Row] = self._frame.toLocalIterator()
         self._row: Row | None = None
+        self._ahead = True  # the way that the open iterator goes
+        self._past = False  # beyond the last row, or before the first
         self.next()
 
     def __enter__(self) -> Cursor:
@@ -82,5 +86,31 @@ class Cursor:
     def value(self) -> bytes:
         return bytes(self._row["value"])
 
+    def _open(self, ahead: bool, beyond: Column) -> None:
+        down = ahead == self._reverse
+        self._rows = self._frame.filter(beyond).orderBy(F.col("key").desc() if down else F.col("key")).toLocalIterator()
+        self._ahead = ahead
+
+    def _step(self, ahead: bool) -> None:
+        if ahead != self._ahead:
+            key = F.col("key")
+            if self._row is None:
+                self._open(ahead, F.lit(self._past))  # from the end that it ran over
+            else:
+                at = F.lit(bytearray(self._row["key"]))
+                self._open(ahead, key < at if ahead == self._reverse else key > at)
+        self._row = next(self._rows, None)
+        self._past = self._row is None
+
     def next(self) -> None:
+        self._step(True)
+
+    def prev(self) -> None:
+        self._step(False)
+
+    def seek(self, key: bytes) -> None:
+        """To the first row at or after the key (at or before it, if ``reverse``)."""
+        at = F.lit(bytearray(key))
+        self._open(True, F.col("key") <= at if self._reverse else F.col("key") >= at)
         self._row = next(self._rows, None)
+        self._past = self._row is None

@@ -7,15 +7,18 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 
 class RunPartition(InputPartition):
-    def __init__(self, path: str):
+    """A run's file, and the bounds of the keys that are wanted."""
+
+    def __init__(self, path: str, lower: bytes | None, upper: bytes | None):
         super().__init__(path)
-        self.path = path
+        self.path, self.lower, self.upper = path, lower, upper
 
 
 class KvLogReader(DataSourceReader):
@@ -46,11 +49,16 @@ class KvLogReader(DataSourceReader):
                 live.pop(run_id, None)
             live.update({r["run_id"]: r for r in commit["add"]})
         kept = [r for r in live.values() if (self.lower is None or bytes.fromhex(r["max_key"]) >= self.lower) and (self.upper is None or bytes.fromhex(r["min_key"]) <= self.upper)]
-        return [RunPartition(os.path.join(self.root, "runs", f"{r['run_id']:012d}")) for r in kept]
+        return [RunPartition(os.path.join(self.root, "runs", r["path"]), self.lower, self.upper) for r in kept]
 
     def read(self, partition: RunPartition) -> Iterator[pa.RecordBatch]:
-        columns = ["key", "value", "is_deleted", "seq"]
-        yield from ds.dataset(partition.path, format="parquet", exclude_invalid_files=True).to_batches(columns=columns)
+        columns, wanted = ["key", "value", "is_deleted", "seq"], pc.scalar(True)
+        # Row groups beyond the bounds are left by their statistics.
+        if partition.lower is not None:
+            wanted = wanted & (pc.field("key") >= pa.scalar(partition.lower, pa.binary()))
+        if partition.upper is not None:
+            wanted = wanted & (pc.field("key") <= pa.scalar(partition.upper, pa.binary()))
+        yield from ds.dataset(partition.path, format="parquet").to_batches(columns=columns, filter=wanted)
 
 
 class KvLogSource(DataSource):

@@ -9,9 +9,11 @@ from ..sources.store import KVStore
 
 
 def into_store(stream: DataFrame, store: KVStore, checkpoint: str, key: str = "key", value: str = "value", seq: str = "seq"):
-    """A writer whose micro-batches become runs. A batch that comes again after a failure writes the same
-    rows with later numbers, which leaves the newest values as they are."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: store.put_df(batch, key, value, seq))
+    """A writer whose micro-batches become runs. The rows keep their seq, so a late write with a lower one
+    loses in whichever batch it comes. A batch that comes again after a failure is known by the checkpoint
+    and its number, which stand in the manifest's commit, and is left."""
+    put = lambda batch, n: store.put_df(batch, key, value, seq, keep_seq=True, batch=(checkpoint, n))
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
 
 
 def newest_stream(stream: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 Texts are cut where a space precedes a character that is no white space. The split pattern always
 has a boundary there, so the parts can be encoded apart, and each distinct part of an Arrow batch is
-encoded once. Parts are joined to texts of a few KB for the library and told apart again by the
-tokens' byte lengths (the offsets of a byte-level vocabulary).
+encoded once. Parts that begin with one space and a character that is no white space are joined to texts
+of a few KB for the library and told apart again by the tokens' byte lengths (the offsets of a
+byte-level vocabulary); others are texts of their own. Texts that hold a special token of a tokenizer
+file go to the library as they are.
 
 Edge cases: a null text counts as empty (no ids; digests of the empty string). Rows that repeat give
-rows that repeat. Other columns of the input, whatever their names, are not read.
+rows that repeat. Texts of any length are encoded whole. An empty table gives an empty result. Other
+columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -68,13 +71,12 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 def build_tokenizer(path: str):
-    """A tokenizers.Tokenizer of a rank file (.tiktoken) or a tokenizer file (.json), without special tokens."""
+    """A tokenizers.Tokenizer of a rank file (.tiktoken), without special tokens, or of a tokenizer file
+    (.json) as it is: its special tokens are known where a text holds them."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     if path.endswith(".json"):
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(path)
     ranks, chars = read_ranks(path), byte_chars()
     show = lambda token: "".join(chars[b] for b in token)
     made = Tokenizer(models.BPE({show(t): r for t, r in ranks.items()}, [(show(a), show(b)) for a, b in merges_of(ranks)]))
@@ -97,6 +99,7 @@ class Codec:
             if all(c in back for c in token):
                 self.token_bytes[at] = bytes(back[c] for c in token)
         self.lengths = np.array([len(t) for t in self.token_bytes], np.int64)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
 
     def _encode_parts(self, parts: list[str], counts: list[int]) -> list[bytes]:
@@ -111,8 +114,8 @@ class Codec:
                 text, text_size = [], 0
                 while at < n and text_size < TEXT_BYTES:
                     part = parts[missing[at]]
-                    # A part that doesn't begin with a space may not follow another one.
-                    if text and part[:1] != " ":
+                    # Only before one space and no more white space is there always a boundary.
+                    if text and (part[:1] != " " or part[1:2].isspace() or len(part) < 2):
                         break
                     text.append(part)
                     text_size += len(part)
@@ -139,6 +142,22 @@ class Codec:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one array of 32-bit numbers, and where each text's ids begin (and the end)."""
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._encode_plain(texts)
+        ids, starts = self._encode_plain(texts.filter(pa.array(~special)))
+        lists, plain = [], iter(zip(starts, starts[1:], strict=False))
+        for x, whole in zip(texts, special.tolist(), strict=True):
+            if whole:
+                lists.append(np.array(self.tokenizer.encode(x.as_py(), add_special_tokens=False).ids, np.uint32))
+            else:
+                a, b = next(plain)
+                lists.append(ids[a:b])
+        return np.concatenate(lists), np.cumsum([0, *map(len, lists)])
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         pieces = pc.split_pattern(texts, " ")
         starts = pieces.offsets.to_numpy().astype(np.int64)
@@ -202,9 +221,9 @@ def slices(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
         at = stop
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, text):
             yield part
             pa.default_memory_pool().release_unused()
 

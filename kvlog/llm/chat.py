@@ -10,7 +10,9 @@ Turns are sorted by (turn, role, text) within a conversation and read as a strea
 conversation needs no more memory than one turn: digests and sums are carried along.
 
 Edge cases: a null text is empty, a null role is empty, null turns come first. A null conv_id is a
-conversation of its own. Repeated rows are repeated turns. Unnamed columns are not read.
+conversation of its own. Repeated rows are repeated turns. Long turns are encoded whole, a few MB of
+others beside them at most. Columns other than these four are not read. An empty table gives an empty
+result (the query: its own conversation alone). The query's conversation -1 joins a given one of that id.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import codec, sliced
 from .common import partitions, table
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -86,7 +88,7 @@ def format_turns(turns: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(path)
-        for batch in batches:
+        for batch in sliced(batches, 3):
             made = template.write(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([m for _, m in made], pa.list_(pa.int8()))], ["conv", "turn", "ids", "mask"])
 
@@ -137,7 +139,8 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = END + START + "assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    given = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    own = given.select(*(F.col(f.name).cast(f.dataType) for f in turns.schema))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return read_back(format_turns(turns.unionAll(own), path), path)
 

@@ -7,7 +7,9 @@ on only bins at most half full go up, of which a best fit leaves one at most in
 gets a bounded number whatever the corpus.
 
 Edge cases: a null or empty text is the single end token. Repeated rows are packed once each. A null
-key is carried along. An empty table gives an empty result.
+key is carried along. A long text is cut into pieces of the capacity, its first piece being the rest.
+A special token that a text holds is that token, as the tokenizer file has it. An empty table gives an
+empty result. Columns other than key and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

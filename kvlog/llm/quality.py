@@ -2,14 +2,14 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows of a text. The method
 hashes normalised lines (lower case, white space runs as one space, digit runs as 0) and counts, per
-host (the source), the distinct texts with each line. Lines that over ``share`` of the host's texts
-have, and ``least_docs`` at least, are above the limit and removed, unless they mostly come in copies:
-if the texts with a line consist by half or more of lines above the limit, they share a whole text and
-no boilerplate, and that is left to near-duplicate removal. A document that keeps less than ``keep`` of
-its words is depleted and rejected.
+host (the source), the distinct documents with each line; exact copies are one document, as repeated
+text is no template. Lines that over ``share`` of the host's documents have, and ``least_docs`` at
+least, are above the limit and removed. A document that keeps less than ``keep`` of its words is
+depleted and rejected.
 
 Edge cases: a null text has no words, so it fails the base rules. A null host is a host of its own.
-Rows that repeat each get their row. Columns other than the key, text and host aren't read.
+Rows that repeat each get their row, and count once for the limits. Texts are taken whole, however long.
+An empty table gives an empty result. Columns other than the key, text and host aren't read.
 """
 
 from __future__ import annotations
@@ -52,7 +52,11 @@ def base_features(docs: DataFrame) -> DataFrame:
     df = df.withColumn("sorted", F.when(again, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twin = lambda e, j: F.coalesce(F.get("sorted", j - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get("sorted", j + 1)["h"] == e["h"], F.lit(False))
     df = df.withColumn("starts", F.transform(F.filter("sorted", twin), lambda e: e["i"]))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.array(i, i + 1, i + 2)))))
+    # Each start covers three words, or as many as there are up to the next one.
+    covered = F.aggregate(
+        F.sort_array("starts"), F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n")),
+        lambda s, i: F.struct(i.alias("at"), (s["n"] + F.least(i - s["at"], F.lit(3))).alias("n")), lambda s: s["n"],
+    )
     df = df.withColumn("n_repeat_words", F.when(F.col("starts").isNull(), F.lit(0)).otherwise(covered).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return df.withColumn("base_failed", failed).drop("words", "spoken", "hashes", "sorted", "starts")
@@ -69,12 +73,8 @@ def frequent_lines(features: DataFrame, share: float, least_docs: int) -> DataFr
 
 def removed_words(features: DataFrame, share: float, least_docs: int) -> DataFrame:
     """(uid, n_removed_words) of the rows that hold boilerplate lines."""
-    each = features.select("uid", "host", "n_words", F.explode("lines").alias("line")).select("uid", "host", "n_words", F.col("line.h").alias("h"), F.col("line.w").cast("long").alias("w"))
-    hits = materialise(each.join(frequent_lines(features, share, least_docs), ["host", "h"], "left_semi"), "frequent")
-    rows = hits.groupBy("uid").agg(F.sum("w").alias("frequent"))
-    held = hits.select("uid", "host", "h", "n_words").distinct().join(rows, "uid")
-    copied = held.groupBy("host", "h").agg(F.sum("frequent").alias("f"), F.sum("n_words").alias("n")).filter("2 * f >= n")
-    return hits.join(copied, ["host", "h"], "left_anti").groupBy("uid").agg(F.sum("w").alias("n_removed_words"))
+    each = features.select("uid", "host", F.explode("lines").alias("line")).select("uid", "host", F.col("line.h").alias("h"), F.col("line.w").cast("long").alias("w"))
+    return each.join(frequent_lines(features, share, least_docs), ["host", "h"], "left_semi").groupBy("uid").agg(F.sum("w").alias("n_removed_words"))
 
 
 def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", share: float = SHARE, least_docs: int = LEAST_DOCS, keep: float = KEEP) -> DataFrame:
@@ -108,10 +108,7 @@ hosts AS (SELECT coalesce('h' || source, '') AS host, count(DISTINCT t) AS texts
 freq AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT t) AS c FROM ln GROUP BY 1, 2) JOIN hosts USING (host)
          WHERE c >= 10 AND c > 0.05 * texts),
 hits AS (SELECT * FROM ln SEMI JOIN freq USING (host, h)),
-held AS (SELECT DISTINCT rn, host, h FROM hits),
-copied AS (SELECT host, h FROM held JOIN (SELECT rn, sum(n) AS f FROM hits GROUP BY rn) USING (rn)
-           JOIN (SELECT rn, len(words) AS n FROM w) USING (rn) GROUP BY host, h HAVING 2 * sum(f) >= sum(n)),
-gone AS (SELECT rn, sum(n) AS n FROM hits ANTI JOIN copied USING (host, h) GROUP BY rn),
+gone AS (SELECT rn, sum(n) AS n FROM hits GROUP BY rn),
 ruled AS (SELECT w.rn, doc_id, len(words)::BIGINT AS n_words,
                  length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
                  (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,

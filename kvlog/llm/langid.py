@@ -1,17 +1,21 @@
 """Operator 2: language ID by string kernels, Nyström landmarks and one-versus-rest kernel ridge regression.
 
 The kernel of two texts is the mean, over byte n-grams of length 1 to 3, of the cosine between the sets
-of n-grams present (hashed to WIDTHS values a length). Landmarks are sample texts; the Nyström map
+of n-grams present (one and two bytes exactly, three hashed). Landmarks are sample texts; the Nyström map
 sends a text to its kernels with the landmarks times the inverse root of the landmarks' own kernel
 matrix; ridge regression on that gives one score a language. As the kernel is a product of explicit
 presence vectors, landmarks and regression fold into one matrix, and texts are scored by products of
 batches of presence vectors with it.
 
 The model is fitted on at most ``per_language`` labelled texts of each language (the bound on the
-sample; the first by a hash of the id), which the driver holds as bit vectors of 5 KB.
+sample; the first by a hash of the id), which the driver holds as packed bits, 13 KB each. The first of
+them in that order are the landmarks, so that they are a sample of the sample.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is everything if no text is
-labelled. Equal scores go to the first language in order. A null id counts as an empty one.
+labelled. Equal scores go to the first language in order. A null id counts as an empty one, and is not
+learnt from. Repeated rows get a row each; those of an id that is learnt from count by their texts. Texts
+are taken whole, a block at a time. An empty table gives an empty result. Names may clash: columns other
+than key, text and language are carried along by place, or not read.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 PER_LANGUAGE, LANDMARKS, RIDGE, SHARP = 300, 32, 1e-3, 2.0
-#: Hashed n-grams of each length from 1.
-WIDTHS = (256, 1 << 13, 1 << 15)
+#: N-grams of each length from 1: bytes and pairs as they are, triples hashed.
+WIDTHS = (256, 1 << 16, 1 << 15)
 WIDTH = sum(WIDTHS)
 BLOCK, ROWS = 1 << 20, 64
 #: Parts of a language, of which each gives its first ids.
@@ -45,7 +49,7 @@ def presence(text: str, row: np.ndarray) -> None:
         block = data[at : at + BLOCK + 2].astype(np.uint32)
         row[block] = 1
         two = block[:-1] << 8 | block[1:]
-        row[WIDTHS[0] + (two * np.uint32(2654435761) >> 19)] = 1
+        row[WIDTHS[0] + two] = 1
         three = two[:-1] << 8 | block[2:]
         row[WIDTHS[0] + WIDTHS[1] + (three * np.uint32(2654435761) >> 17)] = 1
 
@@ -61,21 +65,30 @@ def scaled(rows: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """The languages, and the matrix that sends a scaled row to their scores."""
+    """The languages, and the matrix that sends a scaled row to their scores. ``rows`` are packed bits, a
+    language's first ones its landmarks."""
     names = sorted(set(labels))
     own = np.array([names.index(x) for x in labels])
     chosen = np.concatenate([np.flatnonzero(own == k)[:landmarks] for k in range(len(names))])
-    z = scaled(rows[chosen])
+    open_ = lambda part: scaled(np.unpackbits(part, axis=1)[:, :WIDTH])
+    z = open_(rows[chosen])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     kept = values > 1e-8 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])
-    psi = np.concatenate([scaled(rows[i : i + ROWS]) @ z.T for i in range(0, len(rows), ROWS)]) @ root
+    psi = np.concatenate([open_(rows[i : i + ROWS]) @ z.T for i in range(0, len(rows), ROWS)]) @ root
     weight = (1 / np.bincount(own, minlength=len(names)))[own] / len(names)
     target = np.where(own[:, None] == np.arange(len(names)), 1.0, -1.0)
     solved = np.linalg.solve(psi.T @ (psi * weight[:, None]) + ridge * np.eye(psi.shape[1]), psi.T @ (target * weight[:, None]))
     return names, (z.T @ (root @ solved)).astype(np.float32)
 
 
+def least_score(languages: int, share: float) -> float:
+    """The score that is ``share`` times an even one, or half the best that there can be if that is less,
+    so that clear answers pass however many languages there are."""
+    best = np.exp(2 * SHARP) / (np.exp(2 * SHARP) + max(languages - 1, 0))
+    return min(share / max(languages, 1), best / 2)
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
@@ -131,11 +144,11 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Fit on a bounded sample of labelled texts whose remainder by 3 is not 1."""
-    got = sample(docs, key, text, lang, per_language).select("lang", "bits").collect()
+    got = sample(docs, key, text, lang, per_language).select("lang", F.xxhash64("key").alias("h"), "bits").collect()
     if not got:
         return [], np.zeros((WIDTH, 0), np.float32)
-    got.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
-    rows = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:WIDTH] for r in got])
+    got.sort(key=lambda r: (r["lang"], r["h"], bytes(r["bits"])))
+    rows = np.stack([np.frombuffer(r["bits"], np.uint8) for r in got])
     return fit(rows, [r["lang"] for r in got])
 
 

@@ -8,7 +8,8 @@ bounded-error matching verifies a window around each and gives the span and the
 for an exact phrase, else the best share of a notice's characters that stand unedited, else 0.
 
 Edge cases: a null or empty text has no words, empty labels, null first_word and last_word, score 0.
-Repeated rows are repeated. Long texts are searched whole: memory is a few times the text.
+Repeated rows are repeated. Long texts are searched whole: memory is a few times the text. An empty
+table gives an empty result. Columns other than key and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -121,7 +122,12 @@ def scan_text(data: bytes) -> dict:
     places = base_places(norm)
     fuzzy = fuzzy_matches(norm)
     base = {label for _, label in places}
-    spans = [{"label": x, "begin_word": norm.count(b" ", 0, a), "end_word": norm.count(b" ", 0, b) + 1, "edits": e} for x, a, b, e, _ in fuzzy]
+    # Word numbers by one running count over the places in order.
+    word, words, counted = {}, 0, 0
+    for at in sorted({x for _, a, b, *_ in fuzzy for x in (a, b)}):
+        words += norm.count(b" ", counted, at)
+        word[at], counted = words, at
+    spans = [{"label": x, "begin_word": word[a], "end_word": word[b] + 1, "edits": e} for x, a, b, e, _ in fuzzy]
     score = 1.0 if places else max([0.0, *(1 - e / len(notice) for *_, e, notice in fuzzy)])
     return {
         "n_words": norm.count(b" ") + 1 if norm else 0, "n_base": len(places), "first_word": places[0][0] if places else None, "last_word": places[-1][0] if places else None,
@@ -147,7 +153,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("spans")
+    return scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op3_licenses": op3_licenses}

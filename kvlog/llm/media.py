@@ -4,8 +4,10 @@ written as NPY tiles with difference hashes.
 Images are arrays (height, width, channels) of 8 bits. Tiles are the NPY format's bytes of row bands
 of at most ``TILE_ROWS`` rows, so that a very large image is stored and read in bounded pieces.
 
-Edge cases: a null or empty text is 64 zero bytes. Equal texts give equal values. Bytes that are no
-image of a known kind raise ValueError in ``decode`` and give null in ``thumbnails``.
+Edge cases: a null or empty text is 64 zero bytes. Equal texts give equal values; repeated rows are
+repeated. A long text is several tiles; one at a time is read as a whole. Bytes that are no image of a
+known kind raise ValueError in ``decode`` and give null in ``thumbnails``. An empty table gives an empty
+result. Columns other than key and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -71,24 +73,39 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return np.asarray(flat, np.uint8).reshape(height, width, channels)
 
 
+def _masked(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits under a mask, scaled to 8."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    shift = (mask & -mask).bit_length() - 1
+    most = mask >> shift
+    return (((values & mask) >> shift) * 255 + most // 2) // most
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8 (palette), 24 or 32 bits, bottom-up or top-down, as RGB."""
+    """Uncompressed BMP of 1, 4, 8 (palette), 24 or 32 bits, or of 16 or 32 bits under masks, bottom-up or
+    top-down, as RGB."""
     if data[:2] != b"BM":
         raise ValueError("not BMP")
     begin, size, width, height, _, bits, packing = struct.unpack_from("<I IiiHHI", data, 10)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    if packing not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or (packing == 3 and bits not in (16, 32)):
         raise ValueError("this kind of BMP isn't read")
     rows = abs(height)
     stride = (width * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, stride * rows, begin).reshape(rows, stride)
-    if bits <= 8:
+    if packing == 3 or bits == 16:
+        # Three masks follow the first 40 bytes of the header; 16 bits without masks have 5 for a colour.
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F)
+        values = raw[:, : width * bits // 8].copy().view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        out = np.stack([_masked(values, m) for m in masks], axis=2)
+    elif bits <= 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 1 << bits
         palette = np.frombuffer(data, np.uint8, colours * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
         index = raw if bits == 8 else np.unpackbits(raw, axis=1) if bits == 1 else np.stack([raw >> 4, raw & 15], axis=2).reshape(rows, -1)
         out = palette[index[:, :width]]
     else:
         out = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
-    return np.ascontiguousarray(out[::-1] if height > 0 else out)
+    return np.ascontiguousarray(out[::-1] if height > 0 else out, np.uint8)
 
 
 def decode(data: bytes) -> np.ndarray:

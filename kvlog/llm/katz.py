@@ -24,7 +24,8 @@ so both lists and all parts together number a few times the buckets.
 
 Words are known by 64-bit hashes. Edge cases: a null or empty text is its end alone. A null id takes
 part and counts as an empty one for the held-out rule. Repeated rows are trained on and scored each.
-Without training texts N and V are 0 and every token is unknown with probability 1. Where discounts
+Texts of any length are taken whole. Columns other than key and text, whatever their names, are not read.
+An empty table gives an empty result. Without training texts N and V are 0 and every token is unknown with probability 1. Where discounts
 leave nothing over (no count up to K), seen probabilities are scaled by c(h) / (c(h) + 1).
 """
 

@@ -8,7 +8,8 @@ nothing but sums leaves a task.
 
 Edge cases: a null text has size 16 and is in the group of the empty text. Repeated rows get slots of
 their own. A null id takes part. If one group outweighs a shard's share, its shard is the largest; the
-others share the rest evenly.
+others share the rest evenly. Texts of any length count whole. An empty table gives an empty result.
+Columns other than key and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -101,8 +102,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     sums = parted.groupBy("task", "subset").agg(F.sum("size").alias("size")).collect()
     tasks = sorted({r["task"] for r in sums})
     wholes = np.zeros((len(tasks), shards), np.int64)
+    place = {t: i for i, t in enumerate(tasks)}
     for r in sums:
-        wholes[tasks.index(r["task"]), r["subset"]] = r["size"]
+        wholes[place[r["task"]], r["subset"]] = r["size"]
     names = difference(wholes)[0] if tasks else np.zeros((0, shards), np.int16)
     pairs = [(t, k, int(names[i, k])) for i, t in enumerate(tasks) for k in range(shards)]
     named = spark.createDataFrame(pairs, "task int, subset int, shard int")

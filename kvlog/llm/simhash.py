@@ -12,7 +12,9 @@ compares the homes of block i with the rows of block j, so no task holds the anc
 are hot comes from a sample of the distinct fingerprints and decides only where rows are sent.
 
 Edge cases: a null or empty text has fingerprint 0, which links like any other. A null doc_id takes
-part and gets the group's smallest id (null if there is none). Repeated rows are repeated.
+part and gets the group's smallest id (null if there is none). Repeated rows are repeated. Texts of any
+length are taken whole, a block of words at a time. An empty table gives an empty result. Columns other
+than key and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from test_text_operators import SCHEMA, empty, got, rows, table  # noqa: F401
 
-from kvlog.llm import quality, simhash
+from kvlog.llm import near, quality
 
 
 def test_stages(spark, table):  # noqa: F811
@@ -19,7 +19,7 @@ def test_stages(spark, table):  # noqa: F811
             kept = {str((r.doc_id, r.th)) for r in quality.rules(before).filter("kept").collect()}
             assert {str((r.doc_id, r.th)) for r in docs.selectExpr("doc_id", "xxhash64(text) AS th").collect()} == kept
         if name == "near_dedup":
-            groups = {r.component_id for r in simhash.near_groups(before).collect()}
+            groups = {r.component_id for r in near.near_groups(before).collect()}
             assert sorted(r.doc_id for r in docs.collect()) == sorted(groups)
     assert 0 < docs.count() < start
     assert sorted({r.doc_id for r in corpus_pipeline.run(spark, table).collect()}) == sorted(r.doc_id for r in docs.collect())

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from kvlog.llm import langid, near, packing, quality
 from kvlog.llm.common import materialise, table
 
-#: A language below this share of the scores' softmax is rejected: about chance among the languages known.
-LEAST_SCORE = 0.35
+#: A language is rejected if its share of the scores' softmax is below this multiple of an even share.
+LEAST_SHARE = 1.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is recognised."""
-    return langid.accepted(docs, langid.train(docs), LEAST_SCORE)
+    model = langid.train(docs)
+    return langid.accepted(docs, model, langid.least_score(len(model[0]), LEAST_SHARE))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import materialise, shared_dir, table
 from .langid import remainder
 
 K = 5
@@ -131,6 +131,13 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return names, history, word, doc
 
 
+def by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, places) of each distinct key in order, the places rising; one sort for all."""
+    order = np.argsort(keys, kind="stable")
+    found, first = np.unique(keys[order], return_index=True)
+    return zip(found.tolist(), np.split(order, first[1:]), strict=False)
+
+
 def chunk_records(at: int, rows: list[tuple], hot: Hot, buckets: int) -> Iterator[tuple[int, tuple]]:
     """What a chunk (rows of id, text, training) sends: keys below ``buckets`` are history buckets,
     those from there on word buckets."""
@@ -143,20 +150,15 @@ def chunk_records(at: int, rows: list[tuple], hot: Hot, buckets: int) -> Iterato
     pairs = np.unique(word.astype(np.int64) * buckets + own)
     w, b = pairs // buckets, pairs % buckets
     home = (mix(names) % np.uint64(buckets)).astype(np.int64)
-    used = np.zeros(len(names), bool)
-    used[w] = True
     places = np.bincount(w, minlength=len(names))
-    for k in range(buckets):
-        mine = used & (home == k)
-        if mine.any():
-            yield buckets + k, ("words", pack(names[mine], True), pack(counts[mine].astype(np.uint32)), pack(places[mine].astype(np.uint32)), pack(b[mine[w]].astype(np.uint32)))
+    used = np.flatnonzero(places)
+    for (k, mine), (_, pair) in zip(by_key(home[used]), by_key(home[w]), strict=True):
+        mine = used[mine]
+        yield buckets + k, ("words", pack(names[mine], True), pack(counts[mine].astype(np.uint32)), pack(places[mine].astype(np.uint32)), pack(b[pair].astype(np.uint32)))
     # The histories' side: occurrences by history, in the order of the texts.
-    order = np.lexsort((history, own))
-    cuts = np.searchsorted(own[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        part = order[cuts[k] : cuts[k + 1]]
-        if not len(part):
-            continue
+    by_history = np.argsort(history, kind="stable")
+    for k, part in by_key(own[by_history]):
+        part = by_history[part]
         h = history[part]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         seen, index = np.unique(word[part], return_inverse=True)
@@ -219,8 +221,8 @@ def word_replies(index: int, records: Iterator, buckets: int) -> Iterator[tuple[
     names, counts, word, bucket = word_counts(records)
     pairs = np.unique(bucket * max(1, len(names)) + word)
     word, bucket = pairs % max(1, len(names)), pairs // max(1, len(names))
-    for k in np.unique(bucket).tolist():
-        mine = word[bucket == k]
+    for k, mine in by_key(bucket):
+        mine = word[mine]
         yield k, ("counts", pack(names[mine], True), pack(counts[mine].astype(np.uint64)))
     known = counts > 0
     if known.any():
@@ -409,20 +411,22 @@ def hot_keys(rows: DataFrame, buckets: int) -> Hot:
             names, history, word, _ = tokens_of(batch.column(0).to_pylist())
             pairs, times = np.unique(history.astype(np.int64) * len(names) + word, return_counts=True)
             keys = [(names, np.bincount(history, minlength=len(names))), (bigram_of(names[pairs // len(names)], names[pairs % len(names)]), times)]
-            large = [c >= max(1, share * len(word) / 2) for _, c in keys]
-            found = [x[k].view(np.int64) for (values, counts), k in zip(keys, large, strict=True) for x in (values, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([len(word)]), *(pa.array([x]) for x in found)], ["n", "histories", "h", "bigrams", "b"])
-
-    total, found = 0, ({}, {})
-    # At most 4 * buckets / HOT keys a batch.
-    for n, *lists in part.mapInArrow(run, "n bigint, histories array<bigint>, h array<bigint>, bigrams array<bigint>, b array<bigint>").collect():
-        total += n
-        for sums, keys, counts in zip(found, lists[::2], lists[1::2], strict=True):
-            for key, c in zip(np.array(keys, np.int64).view(np.uint64).tolist(), counts, strict=True):
-                sums[key] = sums.get(key, 0) + c
+            least = max(1, share * len(word) / 2)
+            kinds, values, counts = [np.zeros(1, np.int32)], [np.zeros(1, np.uint64)], [np.array([len(word)])]
+            for kind, (own, c) in enumerate(keys, 1):
+                large = c >= least
+                for x, more in ((kinds, np.full(large.sum(), kind, np.int32)), (values, own[large]), (counts, c[large])):
+                    x.append(more)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(counts))], ["kind", "key", "c"])
+
+    counts = part.mapInArrow(run, "kind int, key bigint, c bigint").groupBy("kind", "key").agg(F.sum("c").alias("c"))
+    counts = materialise(counts, "hot")
+    total = counts.filter("kind = 0").agg(F.sum("c")).first()[0] or 0
     least = share * total
-    histories = {k for k, c in found[0].items() if c >= least} | {BEGIN}
-    bigrams = sorted((k, math.ceil(c / least)) for k, c in found[1].items() if c >= least)
+    # At most buckets / HOT of each kind.
+    got = [(r.kind, r.key % (1 << 64), r.c) for r in counts.filter((F.col("kind") > 0) & (F.col("c") >= least)).collect()]
+    histories = {k for kind, k, _ in got if kind == 1} | {BEGIN}
+    bigrams = sorted((k, math.ceil(c / least)) for kind, k, c in got if kind == 2)
     return Hot(np.array(sorted(histories), np.uint64), np.array([k for k, _ in bigrams], np.uint64), np.array([p for _, p in bigrams], np.uint64))
 
 
@@ -431,7 +435,7 @@ def score_texts(docs: DataFrame, train, key: str = "doc_id", text: str = "text")
     column that tells the rows to learn from. The count tables stay in the shared folder."""
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(8, min(4096, -(-size // BUCKET)))
+    buckets = max(8, -(-size // BUCKET))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), train.alias("train"))
     hot = hot_keys(rows, buckets)
     first = rows.rdd.mapPartitionsWithIndex(sent(hot, buckets)).partitionBy(2 * buckets, _same)

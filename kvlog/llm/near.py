@@ -8,10 +8,11 @@ bits, far beyond what anchors cover. Of 16 bands of 4 rows a pair at 0.8 shares
 left, those that are CLOSE are taken, each with an error below one in a million, and all between are
 checked exactly on their whole texts.
 
-Large groups don't give all pairs: each node meets its band's least node first. Then, in bands that
-still hold several groups, nodes of different groups meet, in cells of CELL by CELL rows; of these only
-pairs that aren't FAR apart leave the join. This second step takes time in the square of a band's rows,
-where these are many texts just below the similarity.
+Large groups don't give all pairs. Each node meets its band's least node first. Then, in bands that still
+hold several groups, each node meets that of another group that differs least from it in its block of CELL
+rows. At last, nodes of groups that are still apart meet, in cells of CELL by CELL rows; of these only
+pairs that aren't FAR apart leave the join. The last two steps take time in the square of a band's rows,
+and the last one gives as many pairs, only where many texts of a band are just below the similarity.
 
 Edge cases: a null or empty text has the empty set, alike to itself alone. A null doc_id takes part and
 gets the group's smallest id (null if there is none). Repeated rows are repeated. Texts of any length are
@@ -181,6 +182,48 @@ def settled(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, name
     return pairs.filter("close").select("a", "b").unionAll(exact)
 
 
+def nearest(rows: DataFrame) -> DataFrame:
+    """(a, b): each row's node and the node of another root that differs least from it, of the rows with its
+    band and block, if they aren't far apart."""
+
+    def pairs(band: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        a, b = [node[:0]], [node[:0]]
+        starts = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]).any(axis=1)]))
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(band)], strict=True):
+            own = slice(low, high)
+            for at in range(low, high, 256):
+                part = slice(at, min(at + 256, high))
+                differ = np.zeros((part.stop - at, high - low), np.int32)
+                for w in range(bits.shape[1]):
+                    differ += np.bitwise_count(bits[part, w, None] ^ bits[None, own, w])
+                small, large = np.minimum(n[part, None], n[None, own]), np.maximum(n[part, None], n[None, own])
+                differ[(root[part, None] == root[None, own]) | (small < JACCARD * large)] = BITS
+                best = differ.argmin(axis=1)
+                good = np.flatnonzero(differ[np.arange(len(best)), best] <= FAR)
+                a.append(node[at + good])
+                b.append(node[low + best[good]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            part = [np.stack(columns[:2], axis=1), *columns[2:5], np.stack(columns[5:], axis=1).view(np.uint64)]
+            held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+            # The last group may go on.
+            cut = int((held[0] != held[0][-1]).any(axis=1).sum()) if len(held[0]) else 0
+            if cut:
+                yield pairs(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield pairs(*held)
+
+    block = F.pmod(F.xxhash64("node"), "blocks").alias("block")
+    dealt = rows.select("band", block, "root", "node", "x.*").repartition(partitions(rows.sparkSession), "band", "block").sortWithinPartitions("band", "block")
+    found = dealt.mapInArrow(run, "a bigint, b bigint")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Links (a, b) that connect all candidates with the similarity, from distinct nodes."""
     # Operator 8: nodes of one fingerprint, and fingerprints that meet at an anchor.
@@ -197,18 +240,25 @@ def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     linked = settled(met, nodes, docs, text, "linked")
     roots = materialise(components(linked).toDF("node", "root"), "firstroots")
 
-    # Bands that still hold several groups, in cells.
+    # Bands that still hold several groups, in blocks: each row and its nearest one.
     own = nodes.select("node", "bands").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = own.select(F.explode("bands").alias("band"), "root", "node")
     mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).filter("low <> high")
     rows = rows.join(mixed.select("band", F.ceil(F.col("c") / CELL).cast("long").alias("blocks")).hint("merge"), "band")
     rows = materialise(rows.join(nodes.select("node", F.struct("n", *BITS_OF).alias("x")).hint("merge"), "node"), "mixed")
+    close = materialise(sifted(nearest(rows).join(met.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), nodes), "nearest")
+    linked = materialise(linked.unionAll(settled(close, nodes, docs, text, "closer")), "linked")
+    roots = materialise(components(linked).toDF("node", "root"), "secondroots")
+
+    # All pairs of groups that are still apart, in cells.
+    rows = rows.drop("root").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     block, every = F.pmod(F.xxhash64("node"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = rows.select("band", block.alias("i"), every.alias("j"), F.col("root").alias("ra"), F.col("node").alias("a"), F.col("x").alias("xa"))
     right = rows.select("band", every.alias("i"), block.alias("j"), F.col("root").alias("rb"), F.col("node").alias("b"), F.col("x").alias("xb"))
     crossed = left.hint("merge").join(right, ["band", "i", "j"]).filter((F.col("ra") < F.col("rb")) & _plausible("xa", "xb"))
     crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (_differ("xa", "xb") <= CLOSE).alias("close")).distinct()
-    rest = materialise(crossed.join(met.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "rest")
+    known = met.select("a", "b").unionAll(close.select("a", "b")).hint("merge")
+    rest = materialise(crossed.join(known, ["a", "b"], "left_anti"), "rest")
     return linked.unionAll(settled(rest, nodes, docs, text, "more"))
 
 

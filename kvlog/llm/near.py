@@ -219,7 +219,7 @@ def nearest(rows: DataFrame) -> DataFrame:
             yield pairs(*held)
 
     block = F.pmod(F.xxhash64("node"), "blocks").alias("block")
-    dealt = rows.select("band", block, "root", "node", "x.*").repartition(partitions(rows.sparkSession), "band", "block").sortWithinPartitions("band", "block")
+    dealt = rows.select("band", block, "root", "node", "x.n", *(f"x.{m}" for m in BITS_OF)).repartition(partitions(rows.sparkSession), "band", "block").sortWithinPartitions("band", "block")
     found = dealt.mapInArrow(run, "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -245,7 +245,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     rows = own.select(F.explode("bands").alias("band"), "root", "node")
     mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).filter("low <> high")
     rows = rows.join(mixed.select("band", F.ceil(F.col("c") / CELL).cast("long").alias("blocks")).hint("merge"), "band")
-    rows = materialise(rows.join(nodes.select("node", F.struct("n", *BITS_OF).alias("x")).hint("merge"), "node"), "mixed")
+    rows = materialise(rows.join(nodes.select("node", F.struct("n", *BITS_OF, "bands").alias("x")).hint("merge"), "node"), "mixed")
     close = materialise(sifted(nearest(rows).join(met.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), nodes), "nearest")
     linked = materialise(linked.unionAll(settled(close, nodes, docs, text, "closer")), "linked")
     roots = materialise(components(linked).toDF("node", "root"), "secondroots")
@@ -255,8 +255,10 @@ def near_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     block, every = F.pmod(F.xxhash64("node"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = rows.select("band", block.alias("i"), every.alias("j"), F.col("root").alias("ra"), F.col("node").alias("a"), F.col("x").alias("xa"))
     right = rows.select("band", every.alias("i"), block.alias("j"), F.col("root").alias("rb"), F.col("node").alias("b"), F.col("x").alias("xb"))
-    crossed = left.hint("merge").join(right, ["band", "i", "j"]).filter((F.col("ra") < F.col("rb")) & _plausible("xa", "xb"))
-    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (_differ("xa", "xb") <= CLOSE).alias("close")).distinct()
+    # A pair leaves the join in the least of its common bands alone, so each one once.
+    least = F.array_min(F.array_intersect("xa.bands", "xb.bands")) == F.col("band")
+    crossed = left.hint("merge").join(right, ["band", "i", "j"]).filter((F.col("ra") < F.col("rb")) & _plausible("xa", "xb") & least)
+    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (_differ("xa", "xb") <= CLOSE).alias("close"))
     known = met.select("a", "b").unionAll(close.select("a", "b")).hint("merge")
     rest = materialise(crossed.join(known, ["a", "b"], "left_anti"), "rest")
     return linked.unionAll(settled(rest, nodes, docs, text, "more"))

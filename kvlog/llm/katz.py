@@ -12,12 +12,14 @@ Data flow, by RDDs of packed arrays (a row per token would be several times the
    the bigram is hot itself), its distinct words with their training counts and the buckets they occur
    in to the bucket of the word. Counts are summed in the chunk first.
 2. Word buckets sum the counts and send each history bucket the counts of the words it holds.
-3. History buckets hold all occurrences of a bigram that isn't hot, so counts, backoff weights and each
-   token's probability are local to them. A first run writes the count tables, by kind and bucket, and
-   gives counts of counts, sums over hot histories and the parts' counts of hot bigrams, which the driver
-   adds up; a second one scores and sends each chunk its texts' sums.
-
-The shuffle files of step 1 and 2 serve both runs of step 3; a lost executor's part is made again from
+3. History buckets hold all occurrences of a bigram that isn't hot, so its count and its history's sums
+   are local to them. A first run writes the tables of counts and sums, by kind and bucket, with counts of
+   counts, sums over hot histories and the parts' counts of hot bigrams, which the driver adds up.
+4. With the discounts known, the backoff weights are written from the sums. Each history bucket reads its
+   bigrams' counts and its histories' weights from the tables, scores its occurrences, and sends each
+   chunk its texts' sums. What is hot is in bucket -1 of the tables, and goes to all buckets.
+
+The shuffle files of step 1 and 2 serve steps 3 and 4; a lost executor's part is made again from
 the same rows. Hot histories and bigrams come from a sample of rows, which decides only where rows are
 sent. A history or bigram is hot with HOT of an even bucket, and a bigram has a part for each such share,
 so both lists and all parts together number a few times the buckets.
@@ -58,8 +60,7 @@ SAMPLE, HOT = 64, 0.25
 
 def pack(values: np.ndarray, rising: bool = False) -> bytes:
     """Whole numbers as compressed byte planes; ``rising``: of their differences."""
-    if rising and len(values):
-        values = np.diff(values, prepend=values.dtype.type(0))
+    values = np.diff(values, prepend=values.dtype.type(0)) if rising and len(values) else np.ascontiguousarray(values)
     planes = values.view(np.uint8).reshape(-1, values.dtype.itemsize).T if len(values) else values.view(np.uint8)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
@@ -263,12 +264,13 @@ class Lower:
 
 class Bucket:
     """All bigrams of a history bucket: types in the order of (history, word), and their occurrences.
-    ``split`` tells the types that are hot bigrams, of which other buckets may hold parts."""
+    ``split`` tells the types that are hot bigrams, of which other buckets may hold parts. The training
+    counts ``c`` are counted here, or (not ``counted``) taken from the table of bigrams."""
 
-    def __init__(self, records: Iterator[tuple[int, tuple]], hot: Hot):
-        pairs, replies, self.texts, self.tables = [], [], [], []
+    def __init__(self, records: Iterator[tuple[int, tuple]], hot: Hot, counted: bool = True):
+        pairs, replies, self.texts, self.bigram_rows, self.weight_rows = [], [], [], [], []
         for _, record in records:
-            {"pairs": pairs, "counts": replies, "texts": self.texts, "table": self.tables}.get(record[0], []).append(record[1:])
+            {"pairs": pairs, "counts": replies, "texts": self.texts, "bigram": self.bigram_rows, "weight": self.weight_rows}.get(record[0], []).append(record[1:])
         names = [unpack(r[0], np.uint64, True) for r in replies]
         counts = [unpack(r[1], np.uint64).astype(np.int64) for r in replies]
         order = np.argsort(np.concatenate(names)) if names else np.zeros(0, np.int64)
@@ -283,7 +285,8 @@ class Bucket:
             where = unpack(doc, np.uint32, True)
             keys.append(own << np.uint64(32) | ids[unpack(index, np.uint32)])
             docs.append(where + np.uint32(first))
-            train.append(np.unpackbits(np.frombuffer(held, np.uint8))[where])
+            if counted:
+                train.append(np.unpackbits(np.frombuffer(held, np.uint8))[where])
             self.chunks.append((at, first, n))
             first += n
         self.n_texts = first
@@ -296,11 +299,34 @@ class Bucket:
         self.word = (key[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.sizes = np.diff(starts, append=len(key))
         self.doc = (np.concatenate(docs) if docs else np.zeros(0, np.uint32))[order]
-        learnt = (np.concatenate(train) if train else np.zeros(0, np.uint8))[order]
-        self.c = np.add.reduceat(learnt, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        if counted:
+            learnt = (np.concatenate(train) if train else np.zeros(0, np.uint8))[order]
+            self.c = np.add.reduceat(learnt, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        else:
+            self.c = self._stored(key[starts])
         self.bigrams = bigram_of(self.histories[self.history], self.words[self.word])
         self.split = np.isin(self.bigrams, hot.bigrams) & np.isin(self.histories, hot.histories)[self.history]
 
+    def _stored(self, keys: np.ndarray) -> np.ndarray:
+        """The counts that the table of bigrams has for types with these sorted keys; 0 for others."""
+        out = np.zeros(len(keys), np.int64)
+        for row in self.bigram_rows:
+            history, word, c = read_bigrams(*row)
+            own = np.searchsorted(self.histories, history).astype(np.uint64) << np.uint64(32) | np.searchsorted(self.words, word).astype(np.uint64)
+            out[np.searchsorted(keys, own)] = c
+        return out
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(c(h), scale of seen probabilities, alpha(h)) of each history, from the table of weights; a history
+        that it doesn't have was not seen in training."""
+        n = len(self.histories)
+        total, scale, alpha = np.zeros(n), np.zeros(n), np.ones(n)
+        for raw, totals, both in self.weight_rows:
+            place = np.searchsorted(self.histories, unpack(raw, np.uint64, True))
+            total[place] = unpack(totals, np.float64)
+            scale[place], alpha[place] = unpack(both, np.float64).reshape(2, -1)
+        return total, scale, alpha
+
     def sums(self, lower: Lower) -> np.ndarray:
         """For each history the sums over its bigrams that aren't hot."""
         own = ~self.split
@@ -327,6 +353,26 @@ def weights(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return total, scale, np.where(total > 0, left / np.maximum(1 - sums[:, K + 1], 1e-300), 1.0)
 
 
+def bigram_row(bucket: int, history: np.ndarray, word: np.ndarray, c: np.ndarray) -> tuple:
+    """A row of the table of bigrams, which are in the order of their histories."""
+    every, first = np.unique(history, return_index=True)
+    head = pack(every, True)
+    runs = pack(np.diff(first, append=len(history)).astype(np.uint32))
+    return "bigram", bucket, bytearray(len(head).to_bytes(8, "little") + head + runs), bytearray(pack(word)), bytearray(pack(c.astype(np.uint64)))
+
+
+def read_bigrams(heads: bytes, words: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(history, word, count) of each bigram of such a row."""
+    cut = 8 + int.from_bytes(heads[:8], "little")
+    history = np.repeat(unpack(heads[8:cut], np.uint64, True), unpack(heads[cut:], np.uint32))
+    return history, unpack(words, np.uint64), unpack(counts, np.uint64).astype(np.int64)
+
+
+def weight_row(bucket: int, histories: np.ndarray, total: np.ndarray, scale: np.ndarray, alpha: np.ndarray) -> tuple:
+    """A row of the table of weights, whose histories are sorted."""
+    return "weight", bucket, bytearray(pack(histories, True)), bytearray(pack(total)), bytearray(pack(np.concatenate([scale, alpha])))
+
+
 def model_rows(index: int, records: Iterator, buckets: int, lower: Lower, hot: Hot) -> Iterator[tuple]:
     """Rows (kind, bucket, data...) of the count tables, and what the driver needs of this bucket."""
     if index % (2 * buckets) >= buckets:
@@ -341,13 +387,12 @@ def model_rows(index: int, records: Iterator, buckets: int, lower: Lower, hot: H
         yield "part", index, bytearray(own.histories[own.history[own.split]].tobytes()), bytearray(own.words[own.word[own.split]].tobytes()), bytearray(both.tobytes())
     seen = (own.c > 0) & ~own.split
     if seen.any():
-        history, first = np.unique(own.history[seen], return_index=True)
-        runs = np.diff(first, append=int(seen.sum())).astype(np.uint32)
-        head = pack(own.histories[history], True)
-        yield "bigram", index, bytearray(len(head).to_bytes(8, "little") + head + pack(runs)), bytearray(pack(own.words[own.word[seen]])), bytearray(pack(own.c[seen].astype(np.uint64)))
-    hottest = np.flatnonzero(np.isin(own.histories, hot.histories))
-    sums = own.sums(lower)[hottest]
-    yield "stats", index, bytearray(counts_of_counts(own.c[~own.split]).tobytes()), bytearray(own.histories[hottest].tobytes()), bytearray(sums.tobytes())
+        yield bigram_row(index, own.histories[own.history[seen]], own.words[own.word[seen]], own.c[seen])
+    sums, hottest = own.sums(lower), np.isin(own.histories, hot.histories)
+    learnt = ~hottest & (sums[:, : K + 1] > 0).any(axis=1)
+    if learnt.any():
+        yield "sums", index, bytearray(pack(own.histories[learnt], True)), bytearray(pack(sums[learnt].reshape(-1))), None
+    yield "stats", index, bytearray(counts_of_counts(own.c[~own.split]).tobytes()), bytearray(own.histories[hottest].tobytes()), bytearray(sums[hottest].tobytes())
 
 
 def scores(index: int, records: Iterator, buckets: int, lower: Lower, d: np.ndarray, hot: Hot, hot_weights: np.ndarray, hot_counts: np.ndarray) -> Iterator[tuple[int, tuple]]:
@@ -355,8 +400,8 @@ def scores(index: int, records: Iterator, buckets: int, lower: Lower, d: np.ndar
     log10 probabilities and of known tokens)."""
     if index % (2 * buckets) >= buckets:
         return
-    own = Bucket(records, hot)
-    total, scale, alpha = weights(own.sums(lower), d)
+    own = Bucket(records, hot, counted=False)
+    total, scale, alpha = own.weights()
     place = np.searchsorted(hot.histories, own.histories)
     split = np.isin(own.histories, hot.histories)
     for values, k in ((total, 0), (scale, 1), (alpha, 2)):
@@ -432,7 +477,7 @@ def hot_keys(rows: DataFrame, buckets: int) -> Hot:
 
 def score_texts(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. ``train`` is a
-    column that tells the rows to learn from. The count tables stay in the shared folder."""
+    column that tells the rows to learn from. The tables of counts and weights stay in the shared folder."""
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(8, -(-size // BUCKET))
@@ -449,23 +494,31 @@ def score_texts(docs: DataFrame, train, key: str = "doc_id", text: str = "text")
     schema = "kind string, bucket int, histories binary, words binary, counts binary"
     spark.createDataFrame(both.mapPartitionsWithIndex(lambda i, r: model_rows(i, r, buckets, lower, hot)), schema).write.partitionBy("kind").parquet(tables)
     n, sums = np.zeros(K + 2, np.int64), np.zeros((len(hot.histories), K + 2))
-    for r in spark.read.schema(schema).parquet(tables).filter("kind = 'stats'").collect():
+    stored = spark.read.schema(schema).parquet(tables)
+    for r in stored.filter("kind = 'stats'").collect():
         n = n + np.frombuffer(r["histories"], np.int64)
         sums[np.searchsorted(hot.histories, np.frombuffer(r["words"], np.uint64))] += np.frombuffer(r["counts"]).reshape(-1, K + 2)
     parts = {}
-    for r in spark.read.schema(schema).parquet(tables).filter("kind = 'part'").collect():
+    for r in stored.filter("kind = 'part'").collect():
         counts = np.frombuffer(r["counts"], np.int64).reshape(2, -1)
         for h, w, times, c in zip(np.frombuffer(r["histories"], np.uint64), np.frombuffer(r["words"], np.uint64), *counts, strict=True):
             parts[h, w] = (times, parts.get((h, w), (0, 0))[1] + c)
-    hot_counts = np.zeros(len(hot.bigrams), np.int64)
+    hot_counts, hottest = np.zeros(len(hot.bigrams), np.int64), []
     if parts:
         (h, w), (times, c) = np.array(list(parts), np.uint64).T, np.array(list(parts.values()), np.int64).T
         sums += history_sums(np.searchsorted(hot.histories, h), c, lower.prob(times), len(hot.histories))
         n = n + counts_of_counts(c)
         hot_counts[np.searchsorted(hot.bigrams, bigram_of(h, w))] = c
+        order = np.lexsort((w, h))
+        hottest = [bigram_row(-1, h[order], w[order], c[order])]
     d = discounts(n)
     hot_weights = np.stack(weights(sums, d), axis=1)
-    scored = both.mapPartitionsWithIndex(lambda i, r: scores(i, r, buckets, lower, d, hot, hot_weights, hot_counts))
+    hottest.append(weight_row(-1, hot.histories, *hot_weights.T))
+    alphas = stored.filter("kind = 'sums'").rdd.map(lambda r: weight_row(r["bucket"], unpack(r["histories"], np.uint64, True), *weights(unpack(r["words"], np.float64).reshape(-1, K + 2), d)))
+    spark.createDataFrame(alphas, schema).unionAll(spark.createDataFrame(hottest, schema)).write.mode("append").partitionBy("kind").parquet(tables)
+    model = spark.read.schema(schema).parquet(tables).filter("kind IN ('bigram', 'weight') AND bucket >= 0").rdd
+    model = model.map(lambda r: (r["bucket"], (r["kind"], bytes(r["histories"]), bytes(r["words"]), bytes(r["counts"])))).partitionBy(2 * buckets, _same)
+    scored = both.union(model).mapPartitionsWithIndex(lambda i, r: scores(i, r, buckets, lower, d, hot, hot_weights, hot_counts))
     made = scored.partitionBy(buckets, _same).mapPartitions(lambda r: result_rows(r, total))
     kind = docs.schema[key].dataType.simpleString()
     return spark.createDataFrame(made, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -15,9 +15,9 @@ Data flow, by RDDs of packed arrays (a row per token would be several times the
 3. History buckets hold all occurrences of a bigram that isn't hot, so its count and its history's sums
    are local to them. A first run writes the tables of counts and sums, by kind and bucket, with counts of
    counts, sums over hot histories and the parts' counts of hot bigrams, which the driver adds up.
-4. With the discounts known, the backoff weights are written from the sums. Each history bucket reads its
-   bigrams' counts and its histories' weights from the tables, scores its occurrences, and sends each
-   chunk its texts' sums. What is hot is in bucket -1 of the tables, and goes to all buckets.
+4. With the discounts known, the table of backoff weights is written from the sums. Each history bucket
+   reads its histories' weights from it, scores its occurrences by the counts that stand beside them, and
+   sends each chunk its texts' sums. What is hot is in bucket -1 of the tables, and goes to all buckets.
 
 The shuffle files of step 1 and 2 serve steps 3 and 4; a lost executor's part is made again from
 the same rows. Hot histories and bigrams come from a sample of rows, which decides only where rows are
@@ -264,13 +264,12 @@ class Lower:
 
 class Bucket:
     """All bigrams of a history bucket: types in the order of (history, word), and their occurrences.
-    ``split`` tells the types that are hot bigrams, of which other buckets may hold parts. The training
-    counts ``c`` are counted here, or (not ``counted``) taken from the table of bigrams."""
+    ``split`` tells the types that are hot bigrams, of which other buckets may hold parts."""
 
-    def __init__(self, records: Iterator[tuple[int, tuple]], hot: Hot, counted: bool = True):
-        pairs, replies, self.texts, self.bigram_rows, self.weight_rows = [], [], [], [], []
+    def __init__(self, records: Iterator[tuple[int, tuple]], hot: Hot):
+        pairs, replies, self.texts, self.weight_rows = [], [], [], []
         for _, record in records:
-            {"pairs": pairs, "counts": replies, "texts": self.texts, "bigram": self.bigram_rows, "weight": self.weight_rows}.get(record[0], []).append(record[1:])
+            {"pairs": pairs, "counts": replies, "texts": self.texts, "weight": self.weight_rows}.get(record[0], []).append(record[1:])
         names = [unpack(r[0], np.uint64, True) for r in replies]
         counts = [unpack(r[1], np.uint64).astype(np.int64) for r in replies]
         order = np.argsort(np.concatenate(names)) if names else np.zeros(0, np.int64)
@@ -285,8 +284,7 @@ class Bucket:
             where = unpack(doc, np.uint32, True)
             keys.append(own << np.uint64(32) | ids[unpack(index, np.uint32)])
             docs.append(where + np.uint32(first))
-            if counted:
-                train.append(np.unpackbits(np.frombuffer(held, np.uint8))[where])
+            train.append(np.unpackbits(np.frombuffer(held, np.uint8))[where])
             self.chunks.append((at, first, n))
             first += n
         self.n_texts = first
@@ -299,23 +297,11 @@ class Bucket:
         self.word = (key[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.sizes = np.diff(starts, append=len(key))
         self.doc = (np.concatenate(docs) if docs else np.zeros(0, np.uint32))[order]
-        if counted:
-            learnt = (np.concatenate(train) if train else np.zeros(0, np.uint8))[order]
-            self.c = np.add.reduceat(learnt, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
-        else:
-            self.c = self._stored(key[starts])
+        learnt = (np.concatenate(train) if train else np.zeros(0, np.uint8))[order]
+        self.c = np.add.reduceat(learnt, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
         self.bigrams = bigram_of(self.histories[self.history], self.words[self.word])
         self.split = np.isin(self.bigrams, hot.bigrams) & np.isin(self.histories, hot.histories)[self.history]
 
-    def _stored(self, keys: np.ndarray) -> np.ndarray:
-        """The counts that the table of bigrams has for types with these sorted keys; 0 for others."""
-        out = np.zeros(len(keys), np.int64)
-        for row in self.bigram_rows:
-            history, word, c = read_bigrams(*row)
-            own = np.searchsorted(self.histories, history).astype(np.uint64) << np.uint64(32) | np.searchsorted(self.words, word).astype(np.uint64)
-            out[np.searchsorted(keys, own)] = c
-        return out
-
     def weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(c(h), scale of seen probabilities, alpha(h)) of each history, from the table of weights; a history
         that it doesn't have was not seen in training."""
@@ -361,13 +347,6 @@ def bigram_row(bucket: int, history: np.ndarray, word: np.ndarray, c: np.ndarray
     return "bigram", bucket, bytearray(len(head).to_bytes(8, "little") + head + runs), bytearray(pack(word)), bytearray(pack(c.astype(np.uint64)))
 
 
-def read_bigrams(heads: bytes, words: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(history, word, count) of each bigram of such a row."""
-    cut = 8 + int.from_bytes(heads[:8], "little")
-    history = np.repeat(unpack(heads[8:cut], np.uint64, True), unpack(heads[cut:], np.uint32))
-    return history, unpack(words, np.uint64), unpack(counts, np.uint64).astype(np.int64)
-
-
 def weight_row(bucket: int, histories: np.ndarray, total: np.ndarray, scale: np.ndarray, alpha: np.ndarray) -> tuple:
     """A row of the table of weights, whose histories are sorted."""
     return "weight", bucket, bytearray(pack(histories, True)), bytearray(pack(total)), bytearray(pack(np.concatenate([scale, alpha])))
@@ -391,7 +370,7 @@ def model_rows(index: int, records: Iterator, buckets: int, lower: Lower, hot: H
     sums, hottest = own.sums(lower), np.isin(own.histories, hot.histories)
     learnt = ~hottest & (sums[:, : K + 1] > 0).any(axis=1)
     if learnt.any():
-        yield "sums", index, bytearray(pack(own.histories[learnt], True)), bytearray(pack(sums[learnt].reshape(-1))), None
+        yield "sums", index, bytearray(pack(own.histories[learnt], True)), bytearray(pack(sums[learnt].T.reshape(-1))), None
     yield "stats", index, bytearray(counts_of_counts(own.c[~own.split]).tobytes()), bytearray(own.histories[hottest].tobytes()), bytearray(sums[hottest].tobytes())
 
 
@@ -400,7 +379,7 @@ def scores(index: int, records: Iterator, buckets: int, lower: Lower, d: np.ndar
     log10 probabilities and of known tokens)."""
     if index % (2 * buckets) >= buckets:
         return
-    own = Bucket(records, hot, counted=False)
+    own = Bucket(records, hot)
     total, scale, alpha = own.weights()
     place = np.searchsorted(hot.histories, own.histories)
     split = np.isin(own.histories, hot.histories)
@@ -514,9 +493,9 @@ def score_texts(docs: DataFrame, train, key: str = "doc_id", text: str = "text")
     d = discounts(n)
     hot_weights = np.stack(weights(sums, d), axis=1)
     hottest.append(weight_row(-1, hot.histories, *hot_weights.T))
-    alphas = stored.filter("kind = 'sums'").rdd.map(lambda r: weight_row(r["bucket"], unpack(r["histories"], np.uint64, True), *weights(unpack(r["words"], np.float64).reshape(-1, K + 2), d)))
+    alphas = stored.filter("kind = 'sums'").rdd.map(lambda r: weight_row(r["bucket"], unpack(r["histories"], np.uint64, True), *weights(unpack(r["words"], np.float64).reshape(K + 2, -1).T, d)))
     spark.createDataFrame(alphas, schema).unionAll(spark.createDataFrame(hottest, schema)).write.mode("append").partitionBy("kind").parquet(tables)
-    model = spark.read.schema(schema).parquet(tables).filter("kind IN ('bigram', 'weight') AND bucket >= 0").rdd
+    model = spark.read.schema(schema).parquet(tables).filter("kind = 'weight' AND bucket >= 0").rdd
     model = model.map(lambda r: (r["bucket"], (r["kind"], bytes(r["histories"]), bytes(r["words"]), bytes(r["counts"])))).partitionBy(2 * buckets, _same)
     scored = both.union(model).mapPartitionsWithIndex(lambda i, r: scores(i, r, buckets, lower, d, hot, hot_weights, hot_counts))
     made = scored.partitionBy(buckets, _same).mapPartitions(lambda r: result_rows(r, total))

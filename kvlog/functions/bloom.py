@@ -103,7 +103,10 @@ def _counts(keys: DataFrame, by: str, fpr: float, key: str) -> DataFrame:
 
 
 def _runs(df: DataFrame, *order: str) -> DataFrame:
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order[:-1]).sortWithinPartitions(*order)
+    """Whole groups (all of ``order`` but its last), each in one partition and in order. They are dealt by a hash:
+    Spark leaves out a deal by the group itself where a join has dealt by it, and AQE may then undo the join's."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, F.xxhash64(*order[:-1])).sortWithinPartitions(*order)
 
 
 def build(keys: DataFrame, by: str, fpr: float, key: str = "key") -> DataFrame:

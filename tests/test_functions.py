@@ -62,3 +62,23 @@ def test_bloom_frames_match_single_filters(spark):
     for at_once in (100_000, 50):  # a run's keys in parts
         got = bloom.probe(spark.createDataFrame([*asked, (9, "no filter"), (1, None)], "run_id int, key string"), filters, "run_id", 0.01, at_once=at_once)
         assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.fixture
+def late_broadcasts(spark):
+    """As on large tables: joins of a small side turn into broadcasts while they run, and tasks aren't put together."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_bloom_probe_after_late_broadcasts(spark, late_broadcasts):
+    keys = spark.range(0, 1200, 1, 8).selectExpr("id % 3 AS run_id", "concat('key', id) AS key")
+    asked = spark.range(0, 2400, 1, 8).selectExpr("id % 3 AS run_id", "concat('key', id) AS key")
+    single = {r: bloom.Bloom.of([f"key{i}".encode() for i in range(r, 1200, 3)], 10) for r in range(3)}
+    got = bloom.probe(asked, bloom.build(keys, "run_id", 0.01), "run_id", 0.01)
+    assert sorted(map(tuple, got.collect())) == sorted((i % 3, f"key{i}") for i in range(2400) if single[i % 3].may_contain(f"key{i}".encode()))

@@ -1,8 +1,10 @@
 import zlib
 
+import duckdb
 import pytest
 
 from kvlog.functions import bloom, codec
+from kvlog.plans import catalogue
 
 
 def test_block_layout_in_bytes():
@@ -82,3 +84,20 @@ def test_bloom_probe_after_late_broadcasts(spark, late_broadcasts):
     single = {r: bloom.Bloom.of([f"key{i}".encode() for i in range(r, 1200, 3)], 10) for r in range(3)}
     got = bloom.probe(asked, bloom.build(keys, "run_id", 0.01), "run_id", 0.01)
     assert sorted(map(tuple, got.collect())) == sorted((i % 3, f"key{i}") for i in range(2400) if single[i % 3].may_contain(f"key{i}".encode()))
+
+
+def test_bloom_build_after_late_broadcasts(spark, late_broadcasts):
+    keys = spark.range(0, 1200, 1, 8).selectExpr("id % 3 AS run_id", "concat('key', id) AS key")
+    single = {r: bloom.Bloom.of([f"key{i}".encode() for i in range(r, 1200, 3)], 10) for r in range(3)}
+    got = bloom.build(keys, "run_id", 0.01).collect()
+    assert sorted((r.run_id, r.m, bytes(r.bits)) for r in got) == [(r, 8 * len(b.bits), bytes(b.bits)) for r, b in single.items()]
+
+
+def test_bloom_bits_of_larger_events_after_late_broadcasts(spark, late_broadcasts, tmp_path):
+    """Sixteen runs with the SQL."""
+    made = spark.range(0, 16_000, 1, 8).selectExpr("id AS event_id", "id * 7919 % 1500 AS user_id", "'click' AS event_type")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalogue.bloom_bits(spark, str(tmp_path)).select("run_id", "m", "plausible").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(catalogue.ORACLES["bloom_bits"]).fetchall())

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -97,6 +97,15 @@ class Bloom:
         return cls(bytearray(data[:-1]), data[-1])
 
 
+def plausible(m: Column, n_set: Column, fpr: float) -> Column:
+    """Whether ``n_set`` of a filter's ``m`` bits is near the number that its keys set by chance: within a tenth of
+    the bits, or in small filters, which chance moves further, within 2 * sqrt(m), over seven deviations at 0.01."""
+    bpk = bits_per_key(fpr)
+    n_keys = F.floor(m / bpk)  # as rounding adds fewer bits than a key has, if that is 8 or more
+    expected = m * (1 - F.pow(1 - 1 / m, n_keys * n_hashes(bpk)))
+    return F.abs(n_set - expected) <= F.greatest(m * 0.1, 2 * F.sqrt(m))
+
+
 def _counts(keys: DataFrame, by: str, fpr: float, key: str) -> DataFrame:
     """(by, m): each run's filter size in bits."""
     return keys.groupBy(by).agg((F.ceil(F.countDistinct(key) * bits_per_key(fpr) / 8) * 8).cast("long").alias("m"))

@@ -288,10 +288,10 @@ def bloom_params(spark, d):
 
 @query("bloom_bits", "SELECT run_id, CAST(ceil(count(DISTINCT key) * 10 / 8) * 8 AS BIGINT) AS m, true AS plausible FROM log GROUP BY run_id")
 def bloom_bits(spark, d):
-    """Each run's filter size, and whether about half of its bits are set: 7 hashes of 10 bits a key set 0.503 of them."""
+    """Each run's filter size, and whether about as many of its bits are set as its keys set by chance (0.503 in large runs)."""
     keys = events_log(spark, d).select("run_id", "key").distinct()
     n_set = F.aggregate(F.sequence(F.lit(1), F.length("bits")), F.lit(0), lambda n, i: n + F.bit_count(F.conv(F.hex(F.substring("bits", i, F.lit(1))), 16, 10).cast("int")))
-    return bloom.build(keys, "run_id", 0.01).select("run_id", "m", (n_set / F.col("m")).between(0.4, 0.6).alias("plausible"))
+    return bloom.build(keys, "run_id", 0.01).select("run_id", "m", bloom.plausible(F.col("m"), n_set, 0.01).alias("plausible"))
 
 
 @query("bloom_probe", """, n AS (SELECT max(run_id) + 1 AS runs FROM log),

@@ -2,6 +2,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kvlog.functions import bloom, codec
 from kvlog.plans import catalogue
@@ -101,3 +102,20 @@ def test_bloom_bits_of_larger_events_after_late_broadcasts(spark, late_broadcast
     duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = catalogue.bloom_bits(spark, str(tmp_path)).select("run_id", "m", "plausible").collect()
     assert sorted(map(tuple, got)) == sorted(duck.sql(catalogue.ORACLES["bloom_bits"]).fetchall())
+
+
+def test_bloom_bits_of_small_runs(spark, tmp_path):
+    """Runs of 1 to 40 keys, as at the end of a log whose length is no multiple of a run's, with the SQL."""
+    made = spark.range(0, 400_000, 1, 8).filter("id % 1000 < 1 + id div 10000").selectExpr("id AS event_id", "id * 7919 % 1000003 AS user_id", "'click' AS event_type")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalogue.bloom_bits(spark, str(tmp_path)).select("run_id", "m", "plausible").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(catalogue.ORACLES["bloom_bits"]).fetchall())
+
+
+def test_bloom_plausible_fill(spark):
+    """What few keys set by chance, and filters of too few or too many keys."""
+    known = [(16, 4, True), (16, 7, True), (64, 25, True), (64, 40, True), (10_000, 5034, True), (200, 30, False), (10_000, 2950, False), (10_000, 7500, False)]
+    got = spark.createDataFrame(known, "m long, n_set int, want boolean").select("*", bloom.plausible(F.col("m"), F.col("n_set"), 0.01).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]

@@ -37,10 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, and a
-    lost executor costs no more than the reading. The files stay until ``release`` or Spark's end."""
+    lost executor costs no more than the reading. The files stay until ``release`` or Spark's end. Spark
+    drops the shuffle files and broadcasts behind ``df`` when the driver collects its garbage, so it is
+    asked to; its heap shrinks at that, and would else grow to its limit over many steps."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

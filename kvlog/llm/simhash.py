@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, table, text_bytes
-from .components import components
+from .components import components, merge_labels
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: First bit and bits of each segment.
@@ -115,21 +115,6 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def merge_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node that each of n nodes is connected with over the links a-b."""
-    label = np.arange(n)
-    while True:
-        la, lb = label[a], label[b]
-        low, new = np.minimum(la, lb), label.copy()
-        np.minimum.at(new, la, low)
-        np.minimum.at(new, lb, low)
-        while not np.array_equal(new, jumped := new[new]):
-            new = jumped
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def _compare(threshold: int, at_once: int = 2_000_000):
     """Rows (anchor, fp, home) sorted by anchor -> links (a, b), a forest's stars for each block."""
 

@@ -467,6 +467,31 @@ def test_chains_contract(spark):
     assert len({r.root for r in components.components(chain).collect()}) == 1
 
 
+@pytest.mark.parametrize("few", [0, 30, 10_000])
+def test_components_in_rounds_and_at_once(spark, monkeypatch, few):
+    """By contraction alone, with the last links on the driver, and there alone."""
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(3)
+    links = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(300)] + [(-(1 << 63), (1 << 63) - 1), (5000, 5000)]
+    nodes, ends = np.unique(np.array([x for x in links if x[0] != x[1]]), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert sorted(got) == nodes.tolist() and set(got.values()) <= set(got)
+    want = components.merge_labels(len(nodes), a, b)
+    assert len(set(zip(want, map(got.get, nodes.tolist()), strict=True))) == len(set(want)) == len(set(got.values()))
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """Each job costs the driver tasks, threads and plans, however few rows it has."""
+    ids = list(range(200))
+    random.Random(1).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert components.components(chain).count() == 200
+    assert jobs() - before <= 10
+
+
 def test_packing(spark, table):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []

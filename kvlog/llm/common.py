@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,16 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, and a
-    lost executor costs no more than the reading. The files stay until ``release`` or Spark's end. Spark
-    drops the shuffle files and broadcasts behind ``df`` when the driver collects its garbage, so it is
-    asked to; its heap shrinks at that, and would else grow to its limit over many steps."""
+    lost executor costs no more than the reading. The files stay until ``release`` or Spark's end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark drops shuffle files and broadcasts that nothing needs,
+    and give free native memory back, where the JVM has that command (JDK 17 on Linux). Both would else grow
+    over many steps, as the heap is rarely collected whole and each step starts threads."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    try:
+        given = new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's own class is closed to reflection, its interface is open.
+        server, open_to = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.java.lang.Class.forName("javax.management.MBeanServerConnection")
+        next(m for m in open_to.getMethods() if m.getName() == "invoke").invoke(server, given)
+    except Py4JError:
+        pass  # another JVM
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``materialise`` has written in this application."""
     jvm = spark.sparkContext._jvm
